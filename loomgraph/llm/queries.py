@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, license_scan, quality_qda, quality_rules, sentencepiece_codec
+from . import chat_format, language_id, license_scan, minhash_dedup, quality_qda, quality_rules, sentencepiece_codec
 from .common import read_table
 
 
@@ -17,6 +17,39 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = minhash_dedup.Settings(shingle=3, percent=85, bands=32, rows=6)
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), settings)
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w
+), n AS (
+  SELECT doc_id, len(s) AS n FROM s
+), x AS (
+  SELECT doc_id, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r(a, b) AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), m AS (
+  SELECT a, min(b) AS b FROM r GROUP BY a
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) AS component_id,
+  n.doc_id = least(n.doc_id, coalesce(m.b, n.doc_id)) AS kept
+FROM n LEFT JOIN m ON m.a = n.doc_id
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -120,6 +153,7 @@ FROM judged
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_formatting": op7_chat_formatting,
@@ -127,6 +161,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_minhash_near_dedup": OP4_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op8_quality_rules": _op8_sql(),
 }
