@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, license_scan, minhash_dedup, quality_qda, quality_rules, sentencepiece_codec
+from . import (
+    chat_format,
+    ctw_lm,
+    decontaminate,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    quality_qda,
+    quality_rules,
+    sentencepiece_codec,
+    token_packing,
+)
 from .common import read_table
 
 
@@ -17,6 +28,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash_dedup.Settings(shingle=3, percent=85, bands=32, rows=6)
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), settings)
@@ -150,14 +165,27 @@ FROM judged
 """
 
 
+def op9_ctw_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_lm.score_corpus(read_table(spark, sf_dir, "documents"), ctw_lm.fold_is(5, 1))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_packing": op3_token_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ctw_lm_scoring": op9_ctw_lm_scoring,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
