@@ -1 +1,124 @@
-"""Placeholder."""
+"""Maintenance and evaluation queries: versions of documents, saves, leases, rules, metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import maintenance
+from ..sources.driver_tables import VERSIONS, table, versions
+from .registry import query
+from .text_plans import _PATHS, _paths
+
+
+@query("change_detection_full_outer", f"""WITH {VERSIONS} SELECT coalesce(v1.path, v2.path) AS path,
+  CASE WHEN v2.path IS NULL THEN 'deleted' WHEN v1.path IS NULL THEN 'new' WHEN v1.sha256 <> v2.sha256 THEN 'changed' ELSE 'unchanged' END AS change
+FROM v1 FULL OUTER JOIN v2 ON v1.path = v2.path""")
+def change_detection_full_outer(spark, sf_dir):
+    return maintenance.detect_changes(*versions(spark, sf_dir))
+
+
+@query("unchanged_diff", f"WITH {VERSIONS} SELECT v1.path FROM v1 JOIN v2 USING (path) WHERE v1.sha256 = v2.sha256")
+def unchanged_diff(spark, sf_dir):
+    before, after = versions(spark, sf_dir)
+    touched = maintenance.detect_changes(before, after).where("change <> 'unchanged'").select("path")
+    return before.select("path").join(touched, "path", "left_anti")
+
+
+@query("untracked_intersect", f"WITH {VERSIONS} SELECT path FROM v1 INTERSECT SELECT path FROM v2 WHERE path LIKE '%3.txt'")
+def untracked_intersect(spark, sf_dir):
+    before, after = versions(spark, sf_dir)
+    return before.select("path").intersect(after.where(F.col("path").endswith("3.txt")).select("path"))
+
+
+@query("refresh_apply", f"""WITH {VERSIONS}, dep AS (SELECT path FROM v2 WHERE path LIKE '%77.txt')
+SELECT v2.path, v2.sha256, CASE WHEN v1.path IS NOT NULL AND v1.sha256 = v2.sha256 AND v2.path NOT IN (SELECT path FROM dep) THEN 'kept' ELSE 'written' END AS origin
+FROM v2 LEFT JOIN v1 ON v1.path = v2.path""")
+def refresh_apply(spark, sf_dir):
+    before, after = versions(spark, sf_dir)
+    dependents = after.where(F.col("path").endswith("77.txt")).select("path")
+    return maintenance.refresh(before, after, dependents)
+
+
+@query("save_debounce_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id AS root, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def save_debounce_sessions(spark, sf_dir):
+    saves = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return maintenance.debounced(saves, "user_id", "ts", "30 minutes").select("root", text("started"), text("ended"), "n")
+
+
+@query("lease_acquire_timeline", """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS k FROM events),
+f(user_id, event_id, tm, k, acquired, until) AS (
+  SELECT user_id, event_id, tm, k, true, tm + 86400 FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.tm, o.k, o.tm >= f.until, CASE WHEN o.tm >= f.until THEN o.tm + 86400 ELSE f.until END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT user_id, event_id, acquired FROM f""")
+def lease_acquire_timeline(spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return maintenance.lease_timeline(attempts, "user_id", "at", "event_id", 86_400.0).select("user_id", "event_id", "acquired")
+
+
+@query("latest_revision_per_root", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_revision_per_root(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return maintenance.latest_revision(rows, "user_id", "event_id")
+
+
+_RULES = ("# comment", "tests/", "*.min.js", "!src/*4.min.js", "src/vendor/*", "!page7*")
+
+
+@query("ignore_rules_last_match", f"""WITH {_PATHS}, m AS (SELECT page_id, path, list_extract(string_split(path, '/'), -1) AS name FROM paths)
+SELECT page_id, path FROM m WHERE starts_with(path, 'tests/') OR
+  CASE WHEN starts_with(name, 'page7') THEN false WHEN starts_with(path, 'src/vendor/') THEN true WHEN path LIKE 'src/%4.min.js' THEN false ELSE ends_with(name, '.min.js') END""")
+def ignore_rules_last_match(spark, sf_dir):
+    rules = [r for line in _RULES if (r := maintenance.parse_rule(line))]
+    return _paths(spark, sf_dir).where(maintenance.is_ignored(F.col("path"), rules))
+
+
+@query("range_overlap_precision", """SELECT l_orderkey, l_linenumber FROM lineitem a WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = a.l_orderkey
+  AND a.l_quantity <= (o.o_custkey % 40) + 5 AND a.l_quantity + 3 >= o.o_custkey % 40)""")
+def range_overlap_precision(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("lo"), (F.col("l_quantity") + 3).alias("hi"))
+    ranges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("lo"), (F.col("o_custkey") % 40 + 5).alias("hi"))
+    return maintenance.range_matches(items, ranges, "l_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("evidence_recall", """WITH f AS (SELECT o_orderkey, o_orderstatus, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS found FROM orders)
+SELECT o_orderstatus AS category, count(*) AS n, round(avg(found::INT), 6) AS recall FROM f GROUP BY 1""")
+def evidence_recall(spark, sf_dir):
+    hits = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.lit(1).alias("hit"))
+    orders = table(spark, sf_dir, "orders").join(hits, "o_orderkey", "left")
+    return orders.groupBy(F.col("o_orderstatus").alias("category")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall")
+    )
+
+
+_METRICS = """SELECT l_returnflag, count(*) AS n, median(l_quantity) AS median, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation,
+  list_sort(list(l_quantity))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95, round(avg((l_discount < 0.05)::INT), 6) AS rate FROM lineitem GROUP BY l_returnflag"""
+
+
+def _metrics(spark, sf_dir):
+    found = maintenance.metrics(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", F.col("l_discount") < 0.05)
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "deviation", "rate")]
+    return found.select("l_returnflag", "n", "median", "p95", *rounded)
+
+
+@query("metrics_median_p95_by_group", _METRICS)
+def metrics_median_p95_by_group(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+@query("gates", f"SELECT l_returnflag, rate >= 0.4 AS recall_gate, p95 - median < 25 AS latency_gate, deviation / mean <= 0.6 AS ratio_gate FROM ({_METRICS})")
+def gates(spark, sf_dir):
+    return _metrics(spark, sf_dir).select(
+        "l_returnflag", (F.col("rate") >= 0.4).alias("recall_gate"), (F.col("p95") - F.col("median") < 25).alias("latency_gate"),
+        (F.col("deviation") / F.col("mean") <= 0.6).alias("ratio_gate"),
+    )
+
+
+@query("corpus_quality_counts", """SELECT source, count(*) AS n, count(*) FILTER (n_chars > 1000) AS long_ones, count(DISTINCT lang) = 4 AS complete, bool_and(n_chars > 0) AS valid FROM documents GROUP BY source ORDER BY source""")
+def corpus_quality_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 1000).alias("long_ones"),
+        (F.size(F.collect_set("lang")) == 4).alias("complete"), F.bool_and(F.col("n_chars") > 0).alias("valid"),
+    )
