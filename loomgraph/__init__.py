@@ -1,0 +1 @@
+"""A Spark-native code-graph and context-retrieval engine."""

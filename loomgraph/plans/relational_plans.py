@@ -218,3 +218,42 @@ def occurrence_keys(spark, sf_dir):
     numbered = store.occurrence_ordinals(rows, ["l_partkey", "l_suppkey"], "seq")
     key = store.occurrence_key(F.col("l_partkey"), F.col("l_suppkey"), F.col("ordinal"))
     return numbered.select("l_orderkey", "l_linenumber", "ordinal", F.lower(F.hex(key)).alias("key"))
+
+
+_SOURCES = (
+    ("helpers.py", "def clean_name(value):\n    return value.strip()\n"),
+    ("service.py", "from helpers import clean_name\n\n\nclass Service:\n    def create(self, name):\n        return clean_name(name)\n"),
+    ("tests/test_service.py", "from service import Service\n\n\ndef test_create():\n    assert Service().create('a')\n"),
+    ("src/text.ts", "export function trim(x: string) {\n  return x.trim();\n}\nexport const up = (x: string) => trim(x);\n"),
+    ("src/store.js", "import { trim } from './text';\nclass Store extends Base {\n  put(x) {\n    return trim(x);\n  }\n}\n"),
+    ("broken.py", "def f(:\n"),
+)
+
+
+def _parsed(spark):
+    from ..operators import parsing
+
+    rows = [(path, bytearray(text, "utf-8")) for path, text in _SOURCES]
+    return parsing.parse_files(spark.createDataFrame(rows, "path string, content binary"))
+
+
+@query("parse_symbols_udtf")
+def parse_symbols_udtf(spark, sf_dir):
+    """Symbols of sources given in line; the tables hold no code."""
+    parsed = _parsed(spark)
+    return parsed.select("path", "status", F.explode_outer("symbols").alias("s")).select(
+        "path", "status", "s.kind", "s.name", "s.signature", "s.start_line", "s.end_line", "s.is_test"
+    )
+
+
+@query("index_edges", """SELECT * FROM (VALUES
+  ('symbol::service.py::method::Service.create', 'symbol::helpers.py::function::clean_name', 'calls'),
+  ('symbol::tests/test_service.py::function::test_create', 'symbol::service.py::class::Service', 'calls'),
+  ('symbol::service.py::class::Service', 'symbol::tests/test_service.py::function::test_create', 'tested_by'),
+  ('symbol::src/text.ts::function::up', 'symbol::src/text.ts::function::trim', 'calls'),
+  ('symbol::src/store.js::method::Store.put', 'symbol::src/text.ts::function::trim', 'calls'),
+  ('file::service.py', 'file::helpers.py', 'imports'), ('file::tests/test_service.py', 'file::service.py', 'imports'), ('file::src/store.js', 'file::src/text.ts', 'imports')) v(source, target, relation)""")
+def index_edges(spark, sf_dir):
+    from ..operators import indexing
+
+    return indexing.build_tables(_parsed(spark).persist())["edges"].select("source", "target", "relation")
