@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, text: str
     by_class = classes.join(final, classes["rep"] == final["node"], "left").select(
         "same", F.coalesce("root", "rep").alias("component_id")
     )
-    per_row = sketches.select("doc_id", "n", "same").join(by_class, "same", "left")
+    of_named = F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")
+    per_row = sketches.select("doc_id", "n", of_named).join(by_class, "same", "left")
     return per_row.groupBy("doc_id").agg(
         F.max("n").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id")
     ).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
