@@ -348,7 +348,7 @@ def test_quality_by_brute_force(spark):
     pooled = sum((s - s.mean(0)).T @ (s - s.mean(0)) for s in sets) / (n.sum() - 2)
 
     def log_density(v, k):
-        own = 0.9 * np.cov(sets[k].T) + 0.1 * pooled
+        own = 0.8 * np.cov(sets[k].T) + 0.2 * pooled
         own = 0.9 * own + 0.1 * np.diag(np.diag(own)) + 1e-6 * np.eye(len(v))
         d = v - sets[k].mean(0)
         return -0.5 * (d @ np.linalg.solve(own, d) + np.linalg.slogdet(own)[1]) + np.log(n[k] / n.sum())
