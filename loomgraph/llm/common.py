@@ -39,12 +39,15 @@ def crc_bucket(doc_id: Column | str, n: int) -> Column:
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _sweep() -> None:
     for spark, path in _scratch:
         try:
-            jvm = spark._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
         except Exception:  # the session has already gone; the folder is left to its owner
             pass
 
@@ -69,7 +72,16 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     _scratch.append((spark, path))
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing refers to any more, all that came of them having
+    been written itself."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

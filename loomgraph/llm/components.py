@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
         )
-        current = materialise(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        before, current = current, materialise(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(before, large)
         now = _digest(current)
         if now == seen:
             break
