@@ -59,10 +59,8 @@ class Lease:
     expires_at: float = float("-inf")
 
     def acquire(self, owner: str, now: float) -> bool:
-        if self.owner is not None and self.expires_at > now and self.owner != owner:
-            return False
-        if self.owner == owner and self.expires_at > now:
-            return False
+        if self.owner is not None and self.expires_at > now:
+            return self.owner == owner
         self.owner, self.expires_at = owner, now + self.seconds
         return True
 

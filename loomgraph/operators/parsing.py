@@ -11,25 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import PARSED_FILES
+
 #: Extensions and the language each stands for.
 LANGUAGES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript",
     ".mjs": "typescript", ".cjs": "typescript",
 }
 
-_REF = "struct<kind:string,name:string,start_line:int,end_line:int,text:string>"
-_SYMBOL = (
-    "struct<kind:string,name:string,parent:string,signature:string,docstring:string,start_line:int,end_line:int,"
-    f"source:string,source_hash:string,is_test:boolean,refs:array<{_REF}>>"
-)
-_BINDING = "struct<local:string,imported:string,kind:string>"
-_IMPORT = f"struct<name:string,source:string,start_line:int,end_line:int,bindings:array<{_BINDING}>>"
-_LITERAL = "struct<name:string,relation:string,line:int>"
-PARSED = (
-    "path string, language string, sha256 string, size long, status string, error string, "
-    f"symbols array<{_SYMBOL}>, imports array<{_IMPORT}>, literals array<{_LITERAL}>"
-)
-
 _parsers: dict[str, Callable[[str, bool], dict]] = {}
 
 
@@ -84,7 +73,7 @@ def parse_files(files: DataFrame, registered: dict | None = None) -> DataFrame:
                 rows.append({"path": path, "language": language, "sha256": hashlib.sha256(content or b"").hexdigest(), "size": len(content or b""), **found})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select(F.col("path"), F.col("content")).mapInArrow(parse, PARSED)
+    return files.select(F.col("path"), F.col("content")).mapInArrow(parse, PARSED_FILES)
 
 
 def _schema() -> pa.Schema:
@@ -104,7 +93,7 @@ def _schema() -> pa.Schema:
 
 
 def parse_changed(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """As parse_files, but a file whose path and content the cache (PARSED) has is taken from it."""
+    """As parse_files, but a file whose path and content the cache (PARSED_FILES) has is taken from it."""
     hashed = files.withColumn("sha256", F.sha2("content", 256))
     hit = cache.join(hashed.select("path", "sha256"), ["path", "sha256"], "left_semi")
     miss = hashed.join(cache.select("path", "sha256"), ["path", "sha256"], "left_anti")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, indexing, lexical, maintenance, parsing, retrieval
+from ..operators import graph, indexing, lexical, maintenance, parsing, resolution, retrieval
 from ..operators.store import SnapshotStore
 from ..sources import repository
 
@@ -23,19 +24,25 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, SnapshotStore(spark, root)
 
-    def index(self, repo: str, exclude: tuple[str, ...] = (), include_roots: tuple[str, ...] = ()) -> dict:
-        """Builds all tables from the whole repository and publishes them."""
+    def index(
+        self, repo: str, exclude: tuple[str, ...] = (), include_roots: tuple[str, ...] = (), still_owner: Callable[[], bool] = lambda: True
+    ) -> dict:
+        """Builds all tables from the whole repository and publishes them. Files that the last
+        snapshot has parsed with the same content are not parsed again."""
         began = time.time()
-        files = repository.source_files(self.spark, repo, exclude, include_roots)
-        return self._publish(parsing.parse_files(files.select("path", "content")), repo, began)
+        files = repository.source_files(self.spark, repo, exclude, include_roots).select("path", "content")
+        cache = self.store.read().get("parsed_files") if self.store.manifest() else None
+        parsed = parsing.parse_files(files) if cache is None else parsing.parse_changed(files, cache)
+        return self._publish(parsed, repo, began, still_owner)
 
-    def _publish(self, parsed: DataFrame, repo: str, began: float) -> dict:
+    def _publish(self, parsed: DataFrame, repo: str, began: float, still_owner: Callable[[], bool]) -> dict:
         parsed = parsed.persist()
         try:
             branch, commit = repository.git_head(repo)
             counts = parsed.agg(F.count(F.lit(1)).alias("f"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("s")).first()
+            tables = indexing.build_tables(parsed) | {"parsed_files": parsed}
             found = self.store.publish(
-                indexing.build_tables(parsed), file_count=counts["f"], symbol_count=counts["s"], root_dir=repo,
+                tables, still_owner, file_count=counts["f"], symbol_count=counts["s"], root_dir=repo,
                 built_branch=branch, built_commit=commit, updated_at=began,
             )
         finally:
@@ -48,16 +55,15 @@ class Engine:
         now = files.select("path", F.sha2("content", 256).alias("sha256"))
         return maintenance.detect_changes(self.store.read()["files"], now).where("change <> 'unchanged'")
 
-    def refresh(self, repo: str) -> dict:
+    def refresh(self, repo: str, still_owner: Callable[[], bool] = lambda: True) -> dict:
         """Brings the snapshot up to date; without changes the revision stays.
 
-        Names are resolved anew over all files: what a changed file defines may complete references
-        anywhere. Only parsing, the one costly step per file, is saved by publishing nothing when
-        nothing changed."""
+        Changed files alone are parsed. Names are resolved anew over all files, since what a changed
+        file defines may complete references anywhere."""
         changed = self.changes(repo).groupBy("change").count().collect()
         if not changed:
             return {"changed": 0, "revision": self.store.manifest()["index_revision"]}
-        done = self.index(repo)
+        done = self.index(repo, still_owner=still_owner)
         return done | {"changed": sum(r["count"] for r in changed)}
 
     def _entities(self, tables: dict[str, DataFrame]) -> DataFrame:
@@ -110,7 +116,7 @@ class Engine:
         exact = symbols.where(F.lower("name").isin(names)).orderBy("id").limit(limit) if names else symbols.limit(0)
         aimed = []
         if target:
-            found = retrieval.target_cascade(symbols, target).collect()
+            found = retrieval.target_cascade(symbols, target, self._reexported(tables, target)).collect()
             sure = len(found) == 1 and found[0]["stage"] < 5
             aimed = [(r["id"], k, sure) for k, r in enumerate(found)]
         targets = self.spark.createDataFrame(aimed, "id string, target_position int, target_exact boolean")
@@ -125,6 +131,30 @@ class Engine:
         scored = retrieval.score_candidates(rows, task, target, len(hits))
         return scored.orderBy(*retrieval.rank_order()).limit(limit)
 
+    def _reexported(self, tables: dict[str, DataFrame], target: str) -> DataFrame:
+        """Symbols that a name stands for through imports, re-exports included."""
+        b = tables["import_bindings"]
+        key = lambda f, n: F.concat_ws("|", f, F.lower(n))
+        steps = b.where("resolved_file_id IS NOT NULL").select(
+            key(F.col("file_id"), F.col("local_name")).alias("name"),
+            F.coalesce("resolved_symbol_id", key(F.col("resolved_file_id"), F.col("imported_name"))).alias("target"),
+        )
+        short = target.rpartition(".")[2].lower()
+        named = (F.lower("local_name") == short) | (F.lower("qualified_name") == target.lower())
+        starts = b.where(named).orderBy("file_id", "start_line", "local_name").limit(16).select(key(F.col("file_id"), F.col("local_name")).alias("start"))
+        leaves = resolution.reexport_closure(steps, starts).select(F.col("leaf").alias("id")).distinct()
+        return leaves.join(tables["symbols"].select("id"), "id", "left_semi")
+
+    def _dispatched(self, tables: dict[str, DataFrame], target: str) -> DataFrame:
+        """Edges from a target to symbols that literals in its file name, where just one symbol fits."""
+        own = tables["symbols"].where(F.col("id") == target).select("file_id")
+        literals = tables["parsed_files"].select(T.file_id(F.col("path")).alias("file_id"), F.explode("literals").alias("l"))
+        names = literals.join(F.broadcast(own), "file_id", "left_semi").select(F.col("l.name").alias("lookup_name"), F.col("l.relation").alias("relation")).distinct()
+        found = tables["symbol_lookup"].join(names, "lookup_name").groupBy("lookup_name", "relation").agg(F.collect_set("symbol_id").alias("ids"))
+        return found.where("size(ids) = 1").select(
+            F.lit(target).alias("source"), F.get("ids", F.lit(0)).alias("target"), "relation", F.lit(0.55).alias("confidence")
+        ).where("source <> target")
+
     def context(self, task: str, target: str | None = None, token_budget: int = 800) -> dict:
         """The target of a task and what surrounds it, within a budget of tokens."""
         if not LEAST_BUDGET <= token_budget <= MOST_BUDGET:
@@ -146,7 +176,10 @@ class Engine:
             return {"status": "ambiguous", "candidates": few, "slices": []}
         roles = {top["id"]: "target"}
         if intent != "understand":
-            for r in retrieval.one_hop(tables["edges"], top["id"], intent).orderBy("position").collect():
+            occurrences = tables["edge_occurrences"].where(F.col("source") == top["id"]).withColumnRenamed("candidate_targets", "candidates")
+            weak = retrieval.inferred_edges(occurrences, tables["symbols"]).unionByName(self._dispatched(tables, top["id"]))
+            edges = tables["edges"].select("source", "target", "relation").unionByName(weak.select("source", "target", "relation")).distinct()
+            for r in retrieval.one_hop(edges, top["id"], intent).orderBy("position").collect():
                 roles.setdefault(r["id"], r["role"])
         rows = {r["id"]: r for r in self._entities(tables).where(F.col("kind") != "file").where(F.col("id").isin(list(roles))).collect()}
         docs = {r["node_id"]: r["summary"] for r in tables["summaries"].where(F.col("node_id").isin(list(roles))).collect()}

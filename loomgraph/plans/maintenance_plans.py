@@ -122,3 +122,77 @@ def corpus_quality_counts(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 1000).alias("long_ones"),
         (F.size(F.collect_set("lang")) == 4).alias("complete"), F.bool_and(F.col("n_chars") > 0).alias("valid"),
     )
+
+
+_TASKS_SQL = """t AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'debug' ELSE 'definition' END AS category, CASE WHEN o_orderkey % 5 = 0 THEN 'ambiguous' ELSE 'ready' END AS expected_status FROM orders),
+s AS (SELECT l_orderkey AS id, 'p' || l_partkey % 3 AS path, CAST(l_quantity AS INTEGER) AS lo, CAST(l_quantity AS INTEGER) + 5 AS hi, CASE l_suppkey % 4 WHEN 0 THEN 'caller' WHEN 1 THEN 'test' WHEN 2 THEN 'target' ELSE 'context' END AS role FROM lineitem WHERE l_orderkey % 7 <> 0),
+e AS (SELECT o_orderkey AS id, 'p' || j AS path, CAST(o_custkey % 50 AS INTEGER) AS line, CASE WHEN j = 1 THEN 'test' END AS role FROM orders, (SELECT unnest([0, 1]) AS j) WHERE o_orderkey % 11 <> 0),
+r AS (SELECT o_orderkey AS id, 'p0' AS path, 10 AS lo, CAST(10 + o_custkey % 20 AS INTEGER) AS hi FROM orders)"""
+
+
+@query("response_scoring", f"""WITH {_TASKS_SQL},
+h AS (SELECT e.id, e.path, max((e.role IS NULL OR s.role = e.role)::INT) AS ok FROM e JOIN s ON s.id = e.id AND s.path = e.path AND e.line BETWEEN s.lo AND s.hi GROUP BY 1, 2),
+c AS (SELECT e.id, avg((h.ok IS NOT NULL)::INT) AS recall, avg(coalesce(h.ok, 0)) AS role_recall FROM e LEFT JOIN h ON h.id = e.id AND h.path = e.path GROUP BY e.id),
+p AS (SELECT s.id, avg((EXISTS (SELECT 1 FROM r WHERE r.id = s.id AND r.path = s.path AND s.lo <= r.hi AND s.hi >= r.lo) OR (t.category = 'debug' AND s.role IN ('caller', 'test')))::INT) AS precision FROM s JOIN t USING (id) GROUP BY s.id)
+SELECT t.id, round(coalesce(recall, 1), 6) AS recall, round(coalesce(role_recall, 1), 6) AS role_recall, round(coalesce(precision, CASE WHEN expected_status <> 'ready' THEN 1 ELSE 0 END), 6) AS precision
+FROM t LEFT JOIN c USING (id) LEFT JOIN p USING (id)""")
+def response_scoring(spark, sf_dir):
+    from ..operators import evaluation
+
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    k = F.col("o_orderkey")
+    tasks = orders.select(
+        k.alias("id"), F.when(k % 3 == 0, "debug").otherwise("definition").alias("category"),
+        F.when(k % 5 == 0, "ambiguous").otherwise("ready").alias("expected_status"),
+    )
+    four, lo = F.col("l_suppkey") % 4, F.col("l_quantity").cast("int")
+    slices = items.where("l_orderkey % 7 <> 0").select(
+        F.col("l_orderkey").alias("id"), F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")).alias("path"),
+        lo.alias("lo"), (lo + 5).alias("hi"), F.when(four == 0, "caller").when(four == 1, "test").when(four == 2, "target").otherwise("context").alias("role"),
+    )
+    evidence = orders.where("o_orderkey % 11 <> 0").select(k.alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"), (F.col("o_custkey") % 50).cast("int").alias("line")).select(
+        "id", F.concat(F.lit("p"), F.col("j").cast("string")).alias("path"), "line", F.when(F.col("j") == 1, "test").alias("role")
+    )
+    ranges = orders.select(k.alias("id"), F.lit("p0").alias("path"), F.lit(10).alias("lo"), (10 + F.col("o_custkey") % 20).cast("int").alias("hi"))
+    found = evaluation.score_answers(tasks, slices, evidence, ranges)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("recall", "role_recall", "precision")])
+
+
+@query("sample_medians", """SELECT l_orderkey AS id, CAST(trunc(median(l_linenumber * 3)) AS BIGINT) AS tokens, round_even(median(l_extendedprice), 3) AS latency, count(*) AS sample_count, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey""")
+def sample_medians(spark, sf_dir):
+    from ..operators import evaluation
+
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), "l_linenumber", (F.col("l_linenumber") * 3).alias("tokens"), F.col("l_extendedprice").alias("latency")
+    )
+    return evaluation.sample_medians(rows, "id", "l_linenumber", ["tokens"], ["latency"])
+
+
+@query("corpus_completeness", """SELECT count(*) AS task_count, count(*) = 1500 AS task_count_exact, bool_and(o_orderkey % 97 <> 0) AS all_tasks_supported,
+  bool_and(o_orderkey % 97 = 0 OR CASE o_orderstatus WHEN 'F' THEN true ELSE o_totalprice > 0 END) AS task_contracts_complete, bool_and(o_orderkey % 97 = 0 OR o_custkey IN (SELECT c_custkey FROM customer)) AS repository_pins_complete FROM orders""")
+def corpus_completeness(spark, sf_dir):
+    from ..operators import evaluation
+
+    one = F.lit(1)
+    tasks = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("repo"), F.col("o_custkey").alias("commit"), (F.col("o_orderkey") % 97 != 0).alias("supported"),
+        F.when(F.col("o_orderstatus") == "F", "insufficient").otherwise("ready").alias("status"), (F.col("o_totalprice") > 0).cast("int").alias("n_targets"),
+        F.lit(0).alias("n_candidates"), one.alias("n_ranges"), one.alias("n_evidence"),
+    )
+    pins = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.col("c_custkey").alias("commit"))
+    return evaluation.corpus_completeness(tasks, pins, 1500)
+
+
+@query("counts_by_value", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def counts_by_value(spark, sf_dir):
+    from ..operators import evaluation
+
+    return evaluation.counts_of(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("parse_cache_misses", f"WITH {VERSIONS} SELECT v2.path, v1.path IS NOT NULL AND v1.sha256 = v2.sha256 AS cached FROM v2 LEFT JOIN v1 ON v1.path = v2.path")
+def parse_cache_misses(spark, sf_dir):
+    before, after = versions(spark, sf_dir)
+    hit = after.join(before, ["path", "sha256"], "left_semi").select("path", F.lit(True).alias("cached"))
+    miss = after.join(before, ["path", "sha256"], "left_anti").select("path", F.lit(False).alias("cached"))
+    return hit.unionByName(miss)

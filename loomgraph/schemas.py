@@ -31,12 +31,25 @@ LEXICAL_DOCUMENTS = (
     "node_id string, name string, path string, signature string, docstring string, summary string, source string"
 )
 METADATA = "key string, value string"
+_REF = "struct<kind:string,name:string,start_line:int,end_line:int,text:string>"
+_SYMBOL = (
+    "struct<kind:string,name:string,parent:string,signature:string,docstring:string,start_line:int,end_line:int,"
+    f"source:string,source_hash:string,is_test:boolean,refs:array<{_REF}>>"
+)
+_BINDING = "struct<local:string,imported:string,kind:string>"
+_IMPORT = f"struct<name:string,source:string,start_line:int,end_line:int,bindings:array<{_BINDING}>>"
+_LITERAL = "struct<name:string,relation:string,line:int>"
+#: Parsed files as nested records; also the cache that saves parsing what has not changed.
+PARSED_FILES = (
+    "path string, language string, sha256 string, size bigint, status string, error string, "
+    f"symbols array<{_SYMBOL}>, imports array<{_IMPORT}>, literals array<{_LITERAL}>"
+)
 
 TABLES = {
     "files": FILES, "symbols": SYMBOLS, "module_lookup": MODULE_LOOKUP, "symbol_lookup": SYMBOL_LOOKUP,
     "edges": EDGES, "imports": IMPORTS, "import_bindings": IMPORT_BINDINGS,
     "edge_occurrences": EDGE_OCCURRENCES, "summaries": SUMMARIES, "lexical_documents": LEXICAL_DOCUMENTS,
-    "metadata": METADATA,
+    "metadata": METADATA, "parsed_files": PARSED_FILES,
 }
 
 #: Primary keys, for upserts and integrity checks.

@@ -94,3 +94,20 @@ def test_bounds(spark):
         graph.edge_filter(None, ["WRONG"])
     assert graph.shortest_path(frame, "a", "a") == [("a", None)]
     assert graph.shortest_path(frame, "b", "a") == [("b", None), ("a", "calls")]
+
+
+def test_freshness(spark, repo, tmp_path):
+    from loomgraph.plans.freshness import Coordinator
+
+    e = Engine(spark, str(tmp_path))
+    c = Coordinator(e, refresh_seconds=300.0)
+    assert c.ensure_current(str(repo)).state == "refreshed"
+    assert c.ensure_current(str(repo)).state == "current"
+    assert c.ensure_current("/elsewhere").state == "index_required"
+    (repo / "service.py").write_text("def other():\n    pass\n")
+    c.refresh_seconds = 0.1
+    assert c.lease.acquire("someone") and not c.lease.acquire("else")
+    assert c.ensure_current(str(repo)).state == "refreshing"
+    c.lease.release("someone")
+    c.refresh_seconds = 300.0
+    assert c.ensure_current(str(repo)).revision == 2
