@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, materialise
 
 UNDETERMINED = "und"
 SIZE = 300
@@ -94,7 +94,7 @@ def train(docs: DataFrame, size: int = SIZE, text: str = "text", lang: str = "la
         F.sum("n").alias("n")
     )
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = sums.withColumn("rank", rank).where(F.col("rank") <= size)
+    best = materialise(sums.withColumn("rank", rank).where(F.col("rank") <= size), "profiles")
     if best.select("lang").distinct().count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     profiles: dict[str, list] = defaultdict(list)
