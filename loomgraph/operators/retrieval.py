@@ -245,3 +245,75 @@ def shrink(response: dict, budget: int) -> dict:
         if not fits(out, budget):
             out.pop(part, None)
     return out
+
+
+#: Words by which a task asks for a role, and the plurals that ask for all of it.
+ROLE_TERMS = {
+    "test": ("test", "tests", "testing", "coverage", "regression"),
+    "caller": ("caller", "callers", "reference", "references", "usage", "used"),
+    "dependency": ("dependency", "dependencies", "import", "imports", "flow", "routing"),
+}
+ROLE_PLURALS = {"test": "tests", "caller": "callers", "dependency": "dependencies"}
+
+#: Words of each intent of an overview, in the order they are tried.
+INTENT_KEYWORDS = (
+    ("review", ("review", "pr", "merge", "diff", "changes", "changeset")),
+    ("debug", ("debug", "bug", "error", "fix", "broken", "failing", "crash", "regression")),
+    ("refactor", ("refactor", "rename", "extract", "cleanup", "dead", "unused", "remove")),
+    ("explore", ("explore", "understand", "architecture", "overview", "map", "learn", "what is", "how does", "improve", "improvement", "roadmap")),
+)
+#: What to do next under each intent.
+NEXT_STEPS = {
+    "review": ("refresh", "context"), "debug": ("context", "graph"), "refactor": ("graph", "path"),
+    "explore": ("graph", "context"), "general": ("context",),
+}
+
+
+def overview_intent(task: Column) -> Column:
+    """The intent of an overview's task by whole words; the first that has any wins."""
+    out = F.lit("general")
+    for intent, keywords in reversed(INTENT_KEYWORDS):
+        pattern = r"\b(?:" + "|".join(k.replace(" ", r"\s") for k in keywords) + r")\b"
+        out = F.when(F.lower(F.coalesce(task, F.lit(""))).rlike(pattern), intent).otherwise(out)
+    return out
+
+
+def requested_roles(tokens: list[str], intent: str) -> list[str]:
+    """Roles in the order in which a task mentions them; without any, all three, except to debug."""
+    first = {role: min((k for k, t in enumerate(tokens) if t in terms), default=None) for role, terms in ROLE_TERMS.items()}
+    order = sorted((at, role) for role, at in first.items() if at is not None)
+    roles = [role for _, role in order]
+    if intent == "debug" and "test" in tokens and not {"tests", "coverage", "regression"} & set(tokens):
+        roles = [r for r in roles if r != "test"]
+    return roles or ([] if intent == "debug" else ["dependency", "caller", "test"])
+
+
+def select_context(ranked: list[tuple[str, str]], tokens: list[str], intent: str, limit: int) -> list[tuple[str, str]]:
+    """Which of the ranked (id, role) rows, the target among them, a context shows.
+
+    The target; then the roles asked for, one row each or all where a plural asks for them; an edit
+    keeps room for two tests; what is left goes to other roles if nothing asked for was there, or to
+    debug. The rows are at most MAX_CANDIDATES, so this is driver work."""
+    waiting = {role: [r for r in ranked if r[1] == role] for role in ROLE_TERMS}
+    chosen = [r for r in ranked if r[1] == "target"][:1]
+
+    def take(role: str, n: int, upto: int) -> int:
+        fresh = [r for r in waiting[role] if r not in chosen][: max(0, min(n, upto - len(chosen)))]
+        chosen.extend(fresh)
+        return len(fresh)
+
+    roles = requested_roles(tokens, intent)
+    kept_back = min(2, len(waiting["test"])) if intent == "edit" and "test" not in roles else 0
+    if kept_back:
+        roles.sort(key=lambda r: (r != "dependency", r))
+    matched = False
+    for role in roles:
+        every = ROLE_PLURALS[role] in tokens or (intent == "debug" and role == "test")
+        matched |= take(role, len(ranked) if every else 1, max(1, limit - kept_back)) > 0
+    if kept_back:
+        take("test", kept_back, limit)
+    if intent == "debug" or not matched:
+        rest = ("caller", "test", "dependency") if intent == "debug" and not {"dependency", "dependencies"} & set(tokens) else ("dependency", "caller", "test")
+        for role in rest:
+            take(role, len(ranked) if intent == "debug" else 1, limit)
+    return chosen[:limit]

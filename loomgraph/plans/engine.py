@@ -16,6 +16,10 @@ from ..sources import repository
 
 #: Budgets of a request.
 LEAST_BUDGET, MOST_BUDGET = 256, 16_384
+#: The order of roles under each intent.
+_ROLE_ORDER = {
+    "debug": ("caller", "test", "dependency"), "edit": ("dependency", "test", "caller"), "review": ("dependency", "caller", "test"),
+}
 
 
 class Engine:
@@ -88,6 +92,7 @@ class Engine:
         return {
             "files": tables["files"].count(), "symbols": tables["symbols"].count(), "edges": tables["edges"].count(),
             "languages": [r["language"] for r in languages], "key_entities": [r.asDict() for r in top],
+            "next": list(retrieval.NEXT_STEPS[self.spark.range(1).select(retrieval.overview_intent(F.lit(task)).alias("i")).first()["i"]]),
         }
 
     def _resolve(self, tables: dict[str, DataFrame], wanted: str) -> str:
@@ -183,10 +188,11 @@ class Engine:
                 roles.setdefault(r["id"], r["role"])
         rows = {r["id"]: r for r in self._entities(tables).where(F.col("kind") != "file").where(F.col("id").isin(list(roles))).collect()}
         docs = {r["node_id"]: r["summary"] for r in tables["summaries"].where(F.col("node_id").isin(list(roles))).collect()}
+        order = {"target": 0} | {role: k for k, role in enumerate(_ROLE_ORDER.get(intent, _ROLE_ORDER["review"]), 1)}
+        ahead = sorted(((n, r) for n, r in roles.items() if n in rows), key=lambda x: order.get(x[1], 5))
+        chosen = retrieval.select_context(ahead, tokens, intent, retrieval.MAX_SLICES)
         response = {"status": "ready", "confidence": round(confidence, 4), "intent": intent, "slices": []}
-        for node, role in list(roles.items())[: retrieval.MAX_SLICES]:
-            if node not in rows:
-                continue
+        for node, role in chosen:
             r = rows[node]
             part = {"id": node, "path": r["path"], "lines": [r["start_line"], r["end_line"]], "symbol": r["name"], "role": role, "code": docs.get(node, "")}
             response["slices"].append(part)

@@ -194,3 +194,19 @@ def unique_leaf_names(spark, sf_dir):
 def round_robin_spread(spark, sf_dir):
     place = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")).alias("r")
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand", place).orderBy("r", "p_brand").limit(100)
+
+
+_OVERVIEW = """CASE WHEN regexp_matches(t, '\\b(?:review|pr|merge|diff|changes|changeset)\\b') THEN 'review' WHEN regexp_matches(t, '\\b(?:debug|bug|error|fix|broken|failing|crash|regression)\\b') THEN 'debug'
+  WHEN regexp_matches(t, '\\b(?:refactor|rename|extract|cleanup|dead|unused|remove)\\b') THEN 'refactor'
+  WHEN regexp_matches(t, '\\b(?:explore|understand|architecture|overview|map|learn|what\\sis|how\\sdoes|improve|improvement|roadmap)\\b') THEN 'explore' ELSE 'general' END"""
+
+
+@query("overview_intents", f"""WITH x AS (SELECT conv_id, turn, lower(CASE conv_id % 6 WHEN 0 THEN 'Review the diff ' WHEN 1 THEN 'Prefix errors ' WHEN 2 THEN 'what is ' WHEN 3 THEN 'rename ' WHEN 4 THEN 'broken: ' ELSE '' END || coalesce(text, '')) AS t FROM conversations)
+SELECT conv_id, turn, {_OVERVIEW} AS intent FROM x""")
+def overview_intents(spark, sf_dir):
+    from ..operators import retrieval
+
+    six = F.col("conv_id") % 6
+    start = F.when(six == 0, "Review the diff ").when(six == 1, "Prefix errors ").when(six == 2, "what is ").when(six == 3, "rename ").when(six == 4, "broken: ").otherwise("")
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", retrieval.overview_intent(F.concat(start, F.coalesce("text", F.lit("")))).alias("intent"))

@@ -95,3 +95,16 @@ def test_streams(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert [p.rpartition("/")[2] for p in seen] == ["a.py"]
+
+
+def test_select_context():
+    from loomgraph.operators.retrieval import requested_roles, select_context
+
+    rows = [("t", "target"), ("d1", "dependency"), ("d2", "dependency"), ("c1", "caller"), ("c2", "caller"), ("x1", "test"), ("x2", "test"), ("x3", "test")]
+    ids = lambda *a: [i for i, _ in select_context(rows, *a)]
+    assert requested_roles(["show", "callers", "dependency"], "review") == ["caller", "dependency"]
+    assert ids(["change", "it"], "edit", 16) == ["t", "d1", "c1", "x1"]
+    assert ids(["change", "callers"], "edit", 16) == ["t", "c1", "c2", "x1", "x2"]
+    assert ids(["crash"], "debug", 16) == ["t", "c1", "c2", "x1", "x2", "x3", "d1", "d2"]
+    assert ids(["show", "dependencies"], "review", 2) == ["t", "d1"]
+    assert select_context([("t", "target")], ["callers"], "edit", 16) == [("t", "target")]
