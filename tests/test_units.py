@@ -108,3 +108,21 @@ def test_select_context():
     assert ids(["crash"], "debug", 16) == ["t", "c1", "c2", "x1", "x2", "x3", "d1", "d2"]
     assert ids(["show", "dependencies"], "review", 2) == ["t", "d1"]
     assert select_context([("t", "target")], ["callers"], "edit", 16) == [("t", "target")]
+
+
+def test_debounce_stream(spark, tmp_path):
+    """The stream gives the bursts that the batch form gives, but for those still open at its end."""
+    from loomgraph.streaming import refresh_stream
+
+    path = "/root/testdata/sf0.001/events.parquet"
+    schema = spark.read.parquet(path).schema
+    (tmp_path / "in").mkdir()
+    spark.read.parquet(path).orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in" / "events"))
+    events = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+    bursts = refresh_stream.debounced_saves(events.withColumnRenamed("user_id", "root"), gap="30 minutes")
+    query = bursts.writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.root, r.started, r.n) for r in spark.table("bursts").collect()}
+    saves = spark.read.parquet(path).select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    want = {(r.root, r.started, r.n) for r in maintenance.debounced(saves, "user_id", "ts", "30 minutes").collect()}
+    assert got <= want and len(got) > 0.9 * len(want)
