@@ -10,10 +10,13 @@
 4. Inside a group, representatives are searched breadth-first: one is compared with all that are
    not linked yet, first by batches of signature values. After each batch a pair is dropped once
    its posterior probability (uniform prior) of reaching the similarity falls below the chosen miss
-   probability; survivors are verified exactly on their full sets. A large group is cut into blocks
-   and each pair of blocks is a task of its own, so no task holds more than two blocks and the
-   links given out number at most the members of the blocks, never their pairs.
-5. Links are joined to the final components.
+   probability; survivors are verified exactly on their full sets. What is given out is a link for
+   each newly linked member, never pairs.
+5. A large group is cut into blocks, so no task holds more than two of them. First each block is
+   searched by itself; then every block meets the pivots of all blocks, a document of each one's
+   largest component; that mostly leaves one component and few documents outside it. Any link still
+   missing has an end among those, so they are the query set that meets all blocks, in blocks.
+6. Links are joined to the final components.
 
 Distribution: the shuffles carry band keys (8 bytes each), and then the texts of those documents
 alone that share a band with another. Every stage is written to the shared folder.
@@ -231,6 +234,47 @@ def _link_blocks(s: Settings):
     return linked
 
 
+def _links_within(tasks: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Links among the documents of each task; tasks: (doc_id, grp, a, b)."""
+    texts = tasks.distinct().join(rows, "doc_id").select("doc_id", "grp", "a", "b", "text")
+    dealt = texts.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
+    return materialise(dealt.mapInArrow(_link_blocks(s), "u long, v long"), "links")
+
+
+def _all_links(placed: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Links that join all that is linked within groups; placed: (doc_id, grp, blocks, own)."""
+    links = _links_within(placed.select("doc_id", "grp", F.col("own").alias("a"), F.col("own").alias("b")), rows, s)
+    large = placed.where("blocks > 1")
+    if large.isEmpty():
+        return links
+
+    def with_root(links: DataFrame) -> DataFrame:
+        found = connected_components(links).withColumnRenamed("node", "doc_id")
+        return materialise(large.join(found, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "roots")
+
+    def largest(rooted: DataFrame, *keys: str) -> DataFrame:
+        sizes = rooted.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n"))
+        return sizes.groupBy(*keys).agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("pivot"))
+
+    rooted = with_root(links)
+    pivots = largest(rooted, "grp", "own").select("grp", F.col("pivot").alias("doc_id"))
+    places = large.select("grp", F.col("own").alias("a")).distinct()
+    shown = pivots.join(places, "grp").unionByName(large.select("grp", "doc_id", F.col("own").alias("a")))
+    links = links.unionByName(_links_within(shown.select("doc_id", "grp", "a", F.col("a").alias("b")), rows, s))
+    rooted = with_root(links)
+    outside = rooted.join(largest(rooted, "grp"), "grp").where("root <> pivot").select("doc_id", "grp", "blocks")
+    outside = materialise(outside, "outside")
+    if outside.isEmpty():
+        return links
+    count = outside.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / s.block_docs).cast("int").alias("parts"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = outside.join(count, "grp").select(
+        "doc_id", "grp", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int").alias("a"), upto("blocks").alias("b")
+    )
+    asked = large.join(count, "grp").select("doc_id", "grp", upto("parts").alias("a"), F.col("own").alias("b"))
+    return links.unionByName(_links_within(asking.unionByName(asked), rows, s))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id), one row a document."""
     s = settings or Settings()
@@ -261,14 +305,8 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, text: str
     placed = sized.join(weight, "root").select(
         F.col("node").alias("doc_id"), F.col("root").alias("grp"), blocks.alias("blocks")
     ).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # Each block meets each block of its group once; a group of one block meets itself.
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = placed.select("doc_id", "grp", "own", meets.alias("other")).select(
-        "doc_id", "grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")
-    )
-    tasks = pairs.join(rows.where(F.col("doc_id").isNotNull()), "doc_id")
-    tasks = tasks.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
-    links = tasks.mapInArrow(_link_blocks(s), "u long, v long")
+    placed = materialise(placed, "placed")
+    links = _all_links(placed, rows.where(F.col("doc_id").isNotNull()), s)
     # A doc_id that stands in several rows with unlike texts ties the classes of those texts.
     several = named.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x != y")
     extra = (
