@@ -77,6 +77,7 @@ def source_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (),
     has to be a folder that they share."""
     root = os.path.realpath(root)
     listed = vcs_paths(root)
+    listed = svn_paths(root) if listed is None else listed
     paths = [p for p in (walked_paths(root) if listed is None else listed) if not os.path.islink(os.path.join(root, p))]
     wanted = [p for p in paths if "." + p.rpartition("/")[2].rpartition(".")[2] in LANGUAGES]
     wanted = [p for p in wanted if "node_modules" not in p.split("/") and os.path.isfile(os.path.join(root, p))]
@@ -88,6 +89,8 @@ def source_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (),
     names = spark.createDataFrame([(p,) for p in wanted], "path string")
     if rules := ignore_rules(root, exclude):
         names = names.where(~is_ignored(F.col("path"), rules))
+    named = explicit_includes(spark, root).where("decision = 'included'").select("path").distinct()
+    names = names.unionByName(named).distinct()
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     start = F.length(F.lit(root)) + 2
     relative = F.substr(F.regexp_replace(F.col("path"), "^file:/*", "/"), start)
@@ -103,3 +106,54 @@ def source_lines(content: str | None, start: int, end: int) -> str | None:
     if content is None:
         return None
     return "".join(content.splitlines(keepends=True)[max(0, start - 1) : end])
+
+
+#: What an explicit include may never bring in, and how large a file may be.
+INCLUDE_FILE = ".loominclude"
+SENSITIVE_NAMES = frozenset(
+    (".env", ".npmrc", ".pypirc", "credentials", "credentials.json", "id_dsa", "id_ed25519", "id_rsa", "secrets", "secrets.json")
+)
+SENSITIVE_SUFFIXES = (".key", ".pem", ".p12", ".pfx", ".jks", ".keystore")
+SENSITIVE_FOLDERS = frozenset(("secret", "secrets", "credential", "credentials", "private-keys"))
+MOST_INCLUDED_BYTES = 2 * 1024 * 1024
+
+
+def include_decision(root: str, path: Path) -> str:
+    """included, or why an explicitly named path is not: outside_repo, symlink, not_file, too_large,
+    sensitive_path."""
+    base, real = Path(root).resolve(), path.resolve()
+    if not real.is_relative_to(base):
+        return "outside_repo"
+    if path.is_symlink():
+        return "symlink"
+    if not real.is_file():
+        return "not_file"
+    if real.stat().st_size > MOST_INCLUDED_BYTES:
+        return "too_large"
+    low = PurePosixPath(real.relative_to(base).as_posix().lower())
+    secret = low.name in SENSITIVE_NAMES or low.name.startswith(".env.") or low.name.endswith(SENSITIVE_SUFFIXES)
+    return "sensitive_path" if secret or SENSITIVE_FOLDERS & set(low.parts) else "included"
+
+
+def explicit_includes(spark: SparkSession, root: str) -> DataFrame:
+    """(path, pattern, decision) for what the include file's patterns name; unmatched ones have no
+    path. Names and sizes are looked at, never contents."""
+    file, rows = Path(root, INCLUDE_FILE), []
+    lines = file.read_text("utf-8", "replace").splitlines() if file.is_file() else []
+    for pattern in (x.strip().lstrip("/") for x in lines if x.strip() and x.strip()[0] not in "#!"):
+        found = [p for hit in Path(root).glob(pattern) for p in (hit.rglob("*") if hit.is_dir() else (hit,))]
+        rows += [(os.path.relpath(p, root), pattern, include_decision(root, p)) for p in found] or [(None, pattern, "unmatched")]
+    return spark.createDataFrame(sorted(set(rows), key=str), "path string, pattern string, decision string")
+
+
+def svn_paths(root: str) -> list[str] | None:
+    """Versioned paths of a Subversion working copy that exist as files; None where there is none."""
+    if not any(os.path.isdir(os.path.join(p, ".svn")) for p in (root, *map(str, Path(root).resolve().parents))):
+        return None
+    try:
+        done = subprocess.run(["svn", "list", "--recursive", root], capture_output=True, text=True, timeout=60)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    if done.returncode:
+        return None
+    return sorted(p for p in done.stdout.splitlines() if p and not p.endswith("/") and os.path.isfile(os.path.join(root, p)))

@@ -126,3 +126,32 @@ def test_debounce_stream(spark, tmp_path):
     saves = spark.read.parquet(path).select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))
     want = {(r.root, r.started, r.n) for r in maintenance.debounced(saves, "user_id", "ts", "30 minutes").collect()}
     assert got <= want and len(got) > 0.9 * len(want)
+
+
+def test_explicit_includes(spark, tmp_path):
+    from loomgraph.sources import repository
+
+    (tmp_path / "gen").mkdir()
+    (tmp_path / "secrets").mkdir()
+    for name in ("gen/a.py", "gen/id_rsa", "secrets/b.py", "c.pem", ".env.local"):
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / "gen" / "link.py").symlink_to(tmp_path / "gen" / "a.py")
+    (tmp_path / repository.INCLUDE_FILE).write_text("# these\n/gen\nsecrets/*.py\n*.pem\n.env*\nnothing/*\n")
+    got = {(r.path, r.decision) for r in repository.explicit_includes(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("gen/a.py", "included"), ("gen/id_rsa", "sensitive_path"), ("gen/link.py", "symlink"), ("secrets/b.py", "sensitive_path"),
+        ("c.pem", "sensitive_path"), (".env.local", "sensitive_path"), (None, "unmatched"),
+    }
+    assert repository.svn_paths(str(tmp_path)) is None
+    assert repository.source_lines("a\r\nb\nc", 2, 9) == "b\nc" and repository.source_lines(None, 1, 1) is None
+
+
+def test_include_roots():
+    import pytest
+
+    from loomgraph.sources import repository
+
+    assert repository.include_roots(("src/./a", "src/a", "b")) == ("src/a", "b")
+    for bad in ("../x", "/etc", " "):
+        with pytest.raises(ValueError):
+            repository.include_roots((bad,))
