@@ -166,7 +166,7 @@ FROM judged
 
 
 def op9_ctw_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw_lm.score_corpus(read_table(spark, sf_dir, "documents"), ctw_lm.fold_is(5, 1))
+    return ctw_lm.score_corpus(read_table(spark, sf_dir, "documents"), ctw_lm.fold_is(5, 1), depth=ctw_lm.DEPTH)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,75 @@ def test_lm_scoring(spark, block_words):
     assert ctw_lm.score_corpus(docs.limit(0), ctw_lm.fold_is(5, 1)).count() == 0
 
 
+def brute_deep_ctw(trained, text, depth):
+    """As brute_ctw, to any depth; log10 of the probability."""
+    counts, children = Counter(), {}
+    for raw in trained:
+        padded = b"\0" * depth + raw
+        for k in range(depth, len(padded)):
+            for j in range(8):
+                node, bit = (256 | padded[k]) >> (8 - j), padded[k] >> (7 - j) & 1
+                for d in range(depth + 1):
+                    counts[node, padded[k - d : k], bit] += 1
+                    if d:
+                        children.setdefault((node, padded[k - d + 1 : k]), set()).add(padded[k - d : k])
+    weights = {}
+
+    def kt(node, context):
+        a, b = counts[node, context, 0], counts[node, context, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) if a + b else 0.0
+
+    def weighted(node, context):
+        if (node, context) not in weights:
+            own = kt(node, context)
+            if len(context) < depth:
+                own = np.logaddexp(own, sum(weighted(node, c) for c in children.get((node, context), ()))) + math.log(0.5)
+            weights[node, context] = own
+        return weights[node, context]
+
+    def one(node, context):
+        a, b = counts[node, context, 0], counts[node, context, 1]
+        return (b + 0.5) / (a + b + 1)
+
+    total, padded = 0.0, b"\0" * depth + text
+    for k in range(depth, len(padded)):
+        for j in range(8):
+            node, bit = (256 | padded[k]) >> (8 - j), padded[k] >> (7 - j) & 1
+            p = one(node, padded[k - depth : k])
+            for d in range(depth - 1, -1, -1):
+                context = padded[k - d : k]
+                stop = math.exp(math.log(0.5) + kt(node, context) - weighted(node, context))
+                p = stop * one(node, context) + (1 - stop) * p
+            total += math.log10(p if bit else 1 - p)
+    return total
+
+
+@pytest.mark.parametrize("depth", [3, 4, 5, 6])
+def test_lm_scoring_deeper(spark, depth, monkeypatch):
+    # One three-byte context a run, so that runs are cut.
+    monkeypatch.setattr(ctw_lm.gram_scores, "__defaults__", (1,))
+    rng = random.Random(depth)
+    texts = ["".join(rng.choice(["an", "the ", "re", "é", "io\n"]) for _ in range(rng.randint(1, 25))) for _ in range(25)]
+    texts += [None, "", "\x00\xff", "never seen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [(t or "").encode() for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
+    found = ctw_lm.score_corpus(docs, ctw_lm.fold_is(5, 1), block_words=9, depth=depth).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert abs(r.score - brute_deep_ctw(train, (texts[r.doc_id] or "").encode(), depth)) < 1e-6
+
+
+def test_registered_lm_scoring_is_deep(spark):
+    """The registered query mixes all depths to four bytes."""
+    from loomgraph.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    deep = {r.doc_id: r.score for r in ctw_lm.score_corpus(docs, ctw_lm.fold_is(5, 1), depth=4).collect()}
+    for r in queries.op9_ctw_lm_scoring(spark, sf).collect():
+        assert abs(r.score - deep[r.doc_id]) < 1e-6 * (1 - r.score)
+
+
 def test_untrained_model_is_uniform():
     tree = ctw_lm.Tree(np.zeros(0, np.int64), np.zeros(0, np.int64))
     assert abs(tree.score(b"ab") - 2 * math.log10(1 / 256)) < 1e-9
