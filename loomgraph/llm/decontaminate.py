@@ -4,15 +4,16 @@ A document and a benchmark item that share a seed (a run of `tile` tokens) are t
 Karp-Rabin the longest common run of unmarked tokens is found and marked, again and again down to
 runs of `tile` tokens, so that tiles never overlap and may stand in any order. An item's coverage is
 the share of its tokens under tiles; a document whose coverage of some item reaches the threshold is
-contaminated, also if it has the item's passages in another order.
+contaminated, also if it has the item's passages in another order. So is one that has a run of
+`passage` tokens of an item, however long the item is. An item with fewer than `tile` tokens is its
+own seed: a document that holds it whole is contaminated.
 
 Distribution: the benchmark is the stated query set. It goes to the executors in blocks of a bounded
 number of tokens; each block is met by all documents in one projection, so documents are never
 shuffled and no pairs are given out. Tokens are runs of letters, digits and non-ASCII characters of
 the lower-cased text.
 
-Defined cases: null and empty texts are clean; an item with fewer than `tile` tokens matches nothing;
-equal items count each; repeated documents each get a row; an empty benchmark leaves all documents
+Defined cases: null and empty texts are clean; an item without tokens matches nothing; equal items count each; repeated documents each get a row; an empty benchmark leaves all documents
 clean; other columns are ignored.
 """
 
@@ -30,6 +31,8 @@ from .common import ALNUM_OR_SPACE
 
 TILE = 5
 COVERAGE = 0.6
+#: Tokens in a row that contaminate a document whatever the item's length.
+PASSAGE = 13
 #: Tokens of benchmark items that go to the executors at once.
 BLOCK_TOKENS = 500_000
 
@@ -93,63 +96,68 @@ class Items:
     names: list
     tokens: list[list[int]]
     vocabulary: dict[bytes, int]
-    seeds: np.ndarray
-    seed_items: list[list[int]]
+    #: By width, hashes of seeds and the items of each; items shorter than a tile have their own width.
+    seeds: dict[int, tuple[np.ndarray, list[list[int]]]]
     tile: int
 
     @classmethod
     def of(cls, items: list[tuple], tile: int) -> Items:
         vocabulary: dict[bytes, int] = {}
         names, tokens = [], []
-        by_seed: dict[int, set[int]] = defaultdict(set)
+        by_seed: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for name, text in items:
             ids = [vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens_of(text or "")]
-            for h in window_hashes(np.array(ids, np.uint64), tile).tolist():
-                by_seed[h].add(len(names))
+            width = min(tile, len(ids))
+            for h in window_hashes(np.array(ids, np.uint64), width).tolist() if width else ():
+                by_seed[width][h].add(len(names))
             names.append(name)
             tokens.append(ids)
-        seeds = sorted(by_seed)
-        return cls(names, tokens, vocabulary, np.array(seeds, np.uint64), [sorted(by_seed[h]) for h in seeds], tile)
-
-    def coverages(self, text: str | None) -> list[tuple[object, float]]:
-        """(item, coverage) of the items that share a seed with the text."""
-        if not text or not len(self.seeds):
+        seeds = {
+            width: (np.array(sorted(of), np.uint64), [sorted(of[h]) for h in sorted(of)]) for width, of in by_seed.items()
+        }
+        return cls(names, tokens, vocabulary, seeds, tile)
+
+    def coverages(self, text: str | None) -> list[tuple[object, float, int]]:
+        """(item, coverage, longest run in tokens) of the items that share a seed with the text."""
+        if not text or not self.seeds:
             return []
         words = tokens_of(text)
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        hashes = window_hashes(ids, self.tile)
-        at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        hits = np.flatnonzero(self.seeds[at] == hashes)
-        if not len(hits):
-            return []
         near: dict[int, list[int]] = defaultdict(list)
-        for p in hits.tolist():
-            for k in self.seed_items[at[p]]:
-                near[k].append(p)
+        for width, (seeds, seed_items) in self.seeds.items():
+            hashes = window_hashes(ids, width)
+            at = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
+            for p in np.flatnonzero(seeds[at] == hashes).tolist():
+                for k in seed_items[at[p]]:
+                    near[k].append(p)
         out = []
         for k, places in sorted(near.items()):
+            item = self.tokens[k]
+            width = min(self.tile, len(item))
             # Only tokens of a shared seed can lie under a tile; -1 keeps the rest apart.
-            under = sorted({q for p in places for q in range(p, p + self.tile)})
+            under = sorted({q for p in places for q in range(p, p + width)})
             doc, last = [], None
             for q in under:
                 if last is not None and q != last + 1:
                     doc.append(-1)
                 doc.append(int(ids[q]))
                 last = q
-            item = self.tokens[k]
-            covered = sum(n for _, _, n in tiles(item, doc, self.tile))
-            out.append((self.names[k], covered / len(item)))
+            lengths = [n for _, _, n in tiles(item, doc, width)]
+            out.append((self.names[k], sum(lengths) / len(item), max(lengths, default=0)))
         return out
 
 
+_FOUND = "array<struct<item_id:bigint,coverage:double,longest:bigint>>"
+
+
 def coverage(text: Column | str, items: Items) -> Column:
-    """array<struct<item_id, coverage>> of a text against one block of items."""
+    """array<struct<item_id, coverage, longest>> of a text against one block of items."""
 
-    @F.arrow_udf("array<struct<item_id:bigint,coverage:double>>")
+    @F.arrow_udf(_FOUND)
     def found(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
-        rows = [[{"item_id": i, "coverage": c} for i, c in items.coverages(t)] for t in texts.to_pylist()]
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int64())]))
+        rows = [[{"item_id": i, "coverage": c, "longest": n} for i, c, n in items.coverages(t)] for t in texts.to_pylist()]
         return pa.array(rows, kind)
 
     return found(text)
@@ -169,20 +177,24 @@ def blocks_of(benchmark: DataFrame, tile: int = TILE, block_tokens: int = BLOCK_
 
 
 def covered_items(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, text: str = "text") -> Column:
-    """One array of (item_id, coverage) for a row of docs, over all blocks."""
+    """One array of (item_id, coverage, longest) for a row of docs, over all blocks."""
     parts = [coverage(F.col(text), items) for items in blocks_of(benchmark, tile)]
-    none = F.array().cast("array<struct<item_id:bigint,coverage:double>>")
-    return F.concat(*parts) if parts else none
+    return F.concat(*parts) if parts else F.array().cast(_FOUND)
+
+
+def _over(threshold: float, passage: int):
+    return lambda x: (x["coverage"] >= threshold) | (x["longest"] >= passage)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, tile: int = TILE, text: str = "text"
-) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids (with coverage at the threshold) and max_coverage."""
+    docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, tile: int = TILE, text: str = "text",
+    passage: int = PASSAGE,
+) -> DataFrame:
+    """doc_id, contaminated, n_items, item_ids (that contaminate it) and max_coverage."""
     rows = docs.select(
         F.col("doc_id").alias("doc_id"), covered_items(docs, benchmark, tile, text).alias("found")
     )
-    over = F.filter("found", lambda x: x["coverage"] >= threshold)
+    over = F.filter("found", _over(threshold, passage))
     return rows.select(
         "doc_id",
         (F.size(over) > 0).alias("contaminated"),
@@ -193,8 +205,8 @@ def contamination(
 
 
 def without_contaminated(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, tile: int = TILE, text: str = "text"
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, tile: int = TILE, text: str = "text",
+    passage: int = PASSAGE,
+) -> DataFrame:
     """The clean rows of docs with all their columns."""
-    best = F.array_max(F.transform(covered_items(docs, benchmark, tile, text), lambda x: x["coverage"]))
-    return docs.where(F.coalesce(best, F.lit(0.0)) < threshold)
+    return docs.where(~F.exists(covered_items(docs, benchmark, tile, text), _over(threshold, passage)))

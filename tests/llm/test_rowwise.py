@@ -252,6 +252,21 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(documents(spark, texts), bench.limit(0)).collect())
 
 
+def test_decontamination_by_passage_and_short_items(spark):
+    item = [f"w{k}" for k in range(59)]
+    long = [f"v{k}" for k in range(1000)]
+    texts = [
+        "before " + " ".join(item[10:40]) + " after", " ".join(long[200:700]), " ".join(item[:12]) + " other", " ".join(item[:13]),
+        " ".join(item[:12] + ["x"] + item[20:32]), "so it is Forty two, he said", "two forty", "forty and two", None,
+    ]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long)), (3, "forty two"), (4, ""), (5, None)], "item_id long, text string")
+    got = by_id(decontaminate.contamination(documents(spark, texts), bench))
+    assert [got[k].item_ids for k in range(len(texts))] == [[1], [2], [], [1], [], [3], [], [], []]
+    assert got[1].max_coverage == 0.5 and got[5].max_coverage == 1.0
+    clean = decontaminate.without_contaminated(documents(spark, texts), bench)
+    assert {r.doc_id for r in clean.collect()} - {None} == {2, 4, 6, 7, 8}
+
+
 def test_tiling_is_greedy_and_disjoint():
     rng = random.Random(2)
     for _ in range(200):
