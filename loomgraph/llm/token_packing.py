@@ -5,10 +5,10 @@ and a rest; rests are packed by best-fit decreasing: longest first, each into th
 room that still holds it, found in a segment tree over capacities. Each row comes with cumulative
 segment lengths and with positions that start again at 0 in every segment.
 
-Distribution: one pass over a partition, without shuffle: rests are gathered up to `shard_tokens`
-tokens, packed and given out, so memory is bounded and no row depends on another partition. Which
-documents share a row therefore follows the input's partitioning; nothing is lost or repeated under
-any. `write_matrices` writes binary matrices through Spark's committed writer.
+Distribution: documents are dealt out by a hash of id and text into groups of about `shard_tokens`
+tokens (at four bytes each), so rows follow from the data and not from how the input is split. In a
+group, in order of id, rests are gathered up to `shard_tokens` tokens, packed and given out, so memory
+is bounded and only a group's last rows may be part-filled. `write_matrices` writes binary matrices through Spark's committed writer.
 
 Defined cases: null and empty texts are the end-of-text id alone; repeated rows are packed each;
 a null doc_id stays null; no documents give no rows; other columns are ignored.
@@ -193,6 +193,10 @@ def pack_documents(
     if not 0 < row_tokens <= 1 << 16:
         raise ValueError("row_tokens must be from 1 to 65536, as positions are uint16")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("binary"))), F.lit(0))).first()[0]
+    groups = max(1, -(-int(size) // (4 * shard_tokens)))
+    dealt = F.xxhash64("doc_id", "text")
+    rows = rows.repartition(groups, dealt).sortWithinPartitions("doc_id", dealt)
     return rows.mapInArrow(_pack(vocabulary, end_of_text, row_tokens, shard_tokens), PACKED)
 
 

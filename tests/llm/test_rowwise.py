@@ -134,6 +134,15 @@ def test_token_packing(spark, texts):
     assert copies and token_packing.pack_documents(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_token_packing_whatever_the_splits(spark, texts):
+    docs = documents(spark, [t for t in texts if t] * 3)
+    packs = [
+        [(list(r.doc_ids), bytes(r.ids)) for r in token_packing.pack_documents(docs.repartition(n), row_tokens=256).collect()]
+        for n in (1, 20)
+    ]
+    assert sorted(packs[0], key=str) == sorted(packs[1], key=str)
+
+
 def test_best_fit_decreasing():
     rng = random.Random(1)
     for _ in range(30):
