@@ -31,9 +31,20 @@ END_OF_TEXT = 50256
 ROW_TOKENS = 2048
 SHARD_TOKENS = 4_000_000
 
+#: The white space of the tokenizer's pattern (Unicode's White_Space, which unlike
+#: Python's has no U+001C to U+001F), as the inside of a character class.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: White space before a word goes with it, one blank at most; longer runs stand alone. The
-#: tokenizer's own pattern never crosses these bounds, so pieces can be encoded one by one.
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: tokenizer's own pattern never crosses these bounds, so pieces can be encoded one by one. It gives
+#: a run of white space out whole, so a run is merged at once without the pattern, whose backtracking
+#: has no room for runs of a million.
+_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_ALL_SPACE = re.compile(f"[{_SPACE}]+")
+
+
+#: Longer pieces are encoded each time, so that the table of pieces has a bounded size.
+_HELD_CHARS = 100
 
 
 class _Pieces(dict):
@@ -46,14 +57,21 @@ class _Pieces(dict):
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.encode = tiktoken.Encoding(
+        self.tokenizer = tiktoken.Encoding(
             path.rpartition("/")[2], pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+        )
+
+    def encoded(self, piece: str) -> list[int]:
+        if _ALL_SPACE.fullmatch(piece):
+            return self.tokenizer._encode_single_piece(piece)
+        return self.tokenizer.encode_ordinary(piece)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > 400_000:
-            self.clear()
-        ids = self[piece] = np.array(self.encode(piece), np.uint16).tobytes()
+        ids = np.array(self.encoded(piece), np.uint16).tobytes()
+        if len(piece) <= _HELD_CHARS:
+            if len(self) > 400_000:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
