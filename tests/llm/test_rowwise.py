@@ -20,7 +20,7 @@ from loomgraph.llm import (
 )
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ODD = [None, "", " ", "\n\t", "a", "ÉCOLE É", "x" * 5000, "the and " * 3000, "😀 ☃ 中文", "a\x00b \x85\xa0c d", "▁x ▁", "</s>[INST]"]
+ODD = [None, "", "\x1cb\x1f'll \x1e\x1d x", "a\u2028\u3000 b\u180e\u200b", " ", "\n\t", "a", "ÉCOLE É", "x" * 5000, "the and " * 3000, "😀 ☃ 中文", "a\x00b \x85\xa0c d", "▁x ▁", "</s>[INST]"]
 
 
 def documents(spark, texts, start=0):
@@ -134,6 +134,30 @@ def test_token_packing(spark, texts):
     assert copies and token_packing.pack_documents(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_token_ids_equal_the_tokenizers():
+    library = token_packing._pieces(token_packing.VOCABULARY).tokenizer
+    rng = random.Random(8)
+    letters = "ab1's \u00e9 \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff#.l'"
+    for _ in range(5000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 20)))
+        assert token_packing.token_ids(text).tolist() == [*library.encode_ordinary(text), token_packing.END_OF_TEXT]
+
+
+def test_token_packing_of_long_runs(spark, tmp_path):
+    texts = [" " * 5_000_000 + "x", "a" + "\n" * 2_000_000, "y" * 1_000_000]
+    packed = token_packing.pack_documents(documents(spark, texts), row_tokens=65536)
+    token_packing.write_matrices(packed, str(tmp_path / "rows"), rows_a_file=20)
+    files = [f for f in (tmp_path / "rows").iterdir() if f.suffix == ".parquet"]
+    rows = spark.read.parquet(str(tmp_path / "rows")).collect()
+    ids, positions = token_packing.read_matrices(rows, 65536)
+    assert len(files) >= len(rows) / 20 and ids.shape == positions.shape == (len(rows), 65536)
+    parts = {(d, o): ids[k, r.cu_seqlens[j] : r.cu_seqlens[j + 1]] for k, r in enumerate(rows) for j, (d, o) in enumerate(zip(r.doc_ids, r.offsets, strict=True))}
+    library = token_packing._pieces(token_packing.VOCABULARY).tokenizer
+    for k, t in enumerate(texts):
+        whole = [int(x) for (d, o) in sorted(x for x in parts if x[0] == k) for x in parts[d, o]]
+        assert library.decode(whole[:-1]) == t and whole[-1] == token_packing.END_OF_TEXT
+
+
 def test_token_packing_whatever_the_splits(spark, texts):
     docs = documents(spark, [t for t in texts if t] * 3)
     packs = [
@@ -199,50 +223,87 @@ def test_chat_format(spark):
     assert chat_format.format_chats(frame.limit(0)).count() == 0
 
 
-def test_chat_events(spark):
-    def fold(rows):
-        kinds = {"message": None}
-        del kinds
-        messages, n = {}, 0
-        for _, kind, target, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
-            if kind == "message":
-                n += 1
-                messages[n] = [role, text]
-                continue
-            m = target if target is not None else n
-            if m not in messages:
-                continue
-            if kind == "delta":
-                messages[m][1] += text
-            else:
-                messages[m][1] = text
-                if kind == "regenerate":
-                    messages = {k: v for k, v in messages.items() if k <= m}
-        return [tuple(messages[k]) for k in sorted(messages)]
+def fold_by_hand(rows):
+    """Events one by one; without a target the latest message that is still there is meant."""
+    messages, n = {}, 0
+    for _, kind, target, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        if kind == "message":
+            n += 1
+            messages[n] = [role, text]
+            continue
+        m = target if target is not None else max(messages, default=None)
+        if m not in messages:
+            continue
+        if kind == "delta":
+            messages[m][1] += text
+        elif kind in ("edit", "regenerate"):
+            messages[m][1] = text
+            if kind == "regenerate":
+                messages = {k: v for k, v in messages.items() if k <= m}
+    return [tuple(messages[k]) for k in sorted(messages)]
+
 
+EVENTS = "conv_id long, seq long, kind string, target long, role string, text string"
+
+
+def test_chat_events(spark):
     rng = random.Random(11)
     logs = {}
-    for conv in range(60):
+    for conv in range(150):
         rows, n = [], 0
-        for seq in range(rng.randint(1, 14)):
-            kind = rng.choice(["message", "delta", "delta", "edit", "regenerate"]) if n else "message"
+        for seq in range(rng.randint(1, 30)):
+            kind = rng.choice(["message", "message", "delta", "delta", "edit", "regenerate", "regenerate"]) if n else rng.choice(["message", "message", "delta", "other"])
             n += kind == "message"
-            latest = kind == "delta"
-            target = None if kind == "message" or latest else n
+            target = None if kind == "message" or rng.random() < 0.4 else rng.randint(0, n + 1)
             rows.append((seq, kind, target, rng.choice(["user", "assistant"]), f"t{seq} "))
         logs[conv] = rows
-    frame = spark.createDataFrame(
-        [(c, *r) for c, rows in logs.items() for r in rows], "conv_id long, seq long, kind string, target long, role string, text string"
-    )
+    frame = spark.createDataFrame([(c, *r) for c, rows in logs.items() for r in rows], EVENTS)
     got = {}
     for r in chat_format.fold_events(frame.repartition(3)).orderBy("conv_id", "message_no").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
-    assert got == {c: fold(rows) for c, rows in logs.items()}
-    # An earlier message regenerated: what came after it goes, what comes later stays.
+    want = {c: fold_by_hand(rows) for c, rows in logs.items()}
+    assert got == {c: rows for c, rows in want.items() if rows}
+    # An earlier message regenerated: what came after it goes, what comes later stays, and a delta
+    # without a target goes to the message regenerated.
     rows = [(0, "message", None, "user", "q"), (1, "message", None, "assistant", "a"), (2, "message", None, "user", "more"),
-            (3, "regenerate", 2, "assistant", "b"), (4, "delta", 2, "assistant", "c"), (5, "message", None, "user", "next")]
-    one = spark.createDataFrame([(1, *r) for r in rows], frame.schema)
+            (3, "regenerate", 2, "assistant", "b"), (4, "delta", None, "assistant", "c"), (5, "message", None, "user", "next")]
+    one = spark.createDataFrame([(1, *r) for r in rows], EVENTS)
     assert [(r.role, r.text) for r in chat_format.fold_events(one).orderBy("message_no").collect()] == [("user", "q"), ("assistant", "bc"), ("user", "next")]
+    assert chat_format.fold_events(one.limit(0)).count() == 0
+
+
+def test_chat_long_conversation(spark):
+    """A hundred thousand turns, with regenerations that go back, folded and read back."""
+    rng = random.Random(12)
+    rows, n = [], 0
+    while n < 100_000:
+        n += 1
+        rows.append((len(rows), "message", None, rng.choice(["user", "assistant"]), f"t{n} <&"))
+        if rng.random() < 0.05:
+            rows.append((len(rows), "regenerate", n - rng.randint(0, 3), "assistant", f"again {n}"))
+            rows.append((len(rows), "delta", None, "assistant", " and on"))
+    frame = spark.createDataFrame([(1, *r) for r in rows], EVENTS).coalesce(1)
+    back = chat_format.read_back(chat_format.render(chat_format.fold_events(frame))).collect()
+    want = fold_by_hand_fast(rows)
+    assert [(t.role, t.text) for t in back[0].turns] == want
+    assert back[0].loss_text == "".join(text for role, text in want if role == "assistant")
+
+
+def fold_by_hand_fast(rows):
+    """As fold_by_hand, for logs whose messages are only dropped from the end."""
+    stack, n = [], 0
+    for _, kind, target, role, text in rows:
+        if kind == "message":
+            n += 1
+            stack.append([n, role, text])
+        elif kind == "delta":
+            stack[-1][2] += text
+        else:
+            at = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 10), -1) if stack[k][0] == target), None)
+            if at is not None:
+                del stack[at + 1 :]
+                stack[at][2] = text
+    return [(role, text) for _, role, text in stack]
 
 
 def test_decontamination(spark):
