@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,42 @@ def texts_as_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers after which each bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * M2
+    x = (x ^ (x >> np.uint64(27))) * M3
+    return x ^ (x >> np.uint64(31))
+
+
+class _WordHashes(dict):
+    """64-bit hash of each word, held up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of each window of `width` hashed words; other widths have other hashes."""
+    n = max(0, len(words) - width + 1)
+    acc = np.full(n, width, np.uint64)
+    for i in range(width):
+        acc = mix((acc + words[i : n + i]) * M1)
+    return acc
+
+
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
     id_ = F.col(doc_id) if isinstance(doc_id, str) else doc_id

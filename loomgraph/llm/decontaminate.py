@@ -8,182 +8,307 @@ contaminated, also if it has the item's passages in another order. So is one tha
 `passage` tokens of an item, however long the item is. An item with fewer than `tile` tokens is its
 own seed: a document that holds it whole is contaminated.
 
-Distribution: the benchmark is the stated query set. It goes to the executors in blocks of a bounded
-number of tokens; each block is met by all documents in one projection, so documents are never
-shuffled and no pairs are given out. Tokens are runs of letters, digits and non-ASCII characters of
-the lower-cased text.
-
-Defined cases: null and empty texts are clean; an item without tokens matches nothing; equal items count each; repeated documents each get a row; an empty benchmark leaves all documents
-clean; other columns are ignored.
+1. Seeds of all items are a table; a Bloom filter of them, of at most FILTER_BITS bits whatever the
+   benchmark, is all that goes to every executor.
+2. Documents are read once against the filter; a row goes on for each distinct seed of a text that
+   may be an item's, and is joined with the table of seeds, which gives (text, item) pairs.
+3. Texts of those pairs alone, copies once, meet their items by key and are tiled; one text at a time
+   is in memory.
+4. What was found returns to the documents by a join on the text's hash.
+
+Neither items nor documents are gathered anywhere, and only texts that share a seed with an item are
+shuffled. Tokens are runs of letters, digits and non-ASCII characters of the lower-cased text.
+
+Defined cases: null and empty texts are clean; an item without tokens matches nothing; equal items
+count each; repeated documents each get a row; an empty benchmark leaves all documents clean; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_OR_SPACE
+from .common import ALNUM_OR_SPACE, M2, materialise, mix, window_hashes, word_hashes
 
 TILE = 5
 COVERAGE = 0.6
 #: Tokens in a row that contaminate a document whatever the item's length.
 PASSAGE = 13
-#: Tokens of benchmark items that go to the executors at once.
-BLOCK_TOKENS = 500_000
+#: Most bits of the filter of seeds (16 MB), its bits for each seed below that, and probes for one.
+FILTER_BITS, BITS_A_SEED, PROBES = 1 << 27, 32, 4
+
+#: Primes and bases of the running hashes: products of two residues fit in 62 bits.
+_FIELDS = ((2_147_483_629, 1_000_003), (2_147_483_587, 69_621))
+
+
+def tokens_of(text: str) -> np.ndarray:
+    """64-bit hashes of a text's tokens."""
+    return word_hashes(text.lower().encode("utf-8", "surrogatepass").translate(ALNUM_OR_SPACE).split())
+
+
+# --- tiling ---------------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=64)
+def _powers_to(doublings: int, prime: int, base: int) -> np.ndarray:
+    out = np.ones(1, np.int64)
+    for k in range(doublings):
+        out = np.concatenate([out, out * pow(base, 1 << k, prime) % prime])
+    return out
+
+
+class _Running:
+    """Karp-Rabin hashes of all windows of any one length, from running sums over the tokens.
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+    `span` is not below the length of any sequence that hashes are compared with."""
 
+    def __init__(self, tokens: np.ndarray, span: int):
+        self.n, self.fields = len(tokens), []
+        for prime, base in _FIELDS:
+            powers = _powers_to(span.bit_length(), prime, base)
+            terms = (tokens % np.uint64(prime)).astype(np.int64) * powers[: self.n] % prime
+            sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(terms)])
+            self.fields.append((prime, sums, powers[span - np.arange(self.n)]))
 
-def tokens_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(ALNUM_OR_SPACE).split()
+    def windows(self, starts: np.ndarray, length: int) -> np.ndarray:
+        one, two = (
+            (sums[starts + length] - sums[starts]) % prime * align[starts] % prime for prime, sums, align in self.fields
+        )
+        return one << 31 | two
 
 
-def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hash of each window, modulo 2^64."""
-    n = len(ids) - width + 1
-    acc = np.zeros(max(n, 0), np.uint64)
-    for k in range(width if n > 0 else 0):
-        acc = acc * _BASE + ids[k : k + n].astype(np.uint64) + np.uint64(1)
-    return acc
+def _free_ahead(free: np.ndarray) -> np.ndarray:
+    """How many unmarked tokens follow in a row, from each place on."""
+    n = len(free)
+    stop = np.where(free, n, np.arange(n))
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
 
 
-def tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
+def tiles(item, doc, least: int, doc_free: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in item, start in doc, length), the longest first; of equally
-    long matches those that start first in the item, then in the document."""
+    long matches those that start first in the item, then in the document.
+
+    The search length only falls: each round finds the greatest length at which a window of unmarked
+    tokens is common, by halving, and marks what matches at that length. So rounds are as many as
+    tiles have different lengths, and a round is linear but for sorting, however repetitive the texts."""
+    item, doc = np.asarray(item, np.uint64), np.asarray(doc, np.uint64)
+    span = max(len(item), len(doc))
+    free = [np.ones(len(item), bool), np.ones(len(doc), bool) if doc_free is None else doc_free.copy()]
+    running = _Running(item, span), _Running(doc, span)
     found: list[tuple[int, int, int]] = []
-    item_free, doc_free = [True] * len(item), [True] * len(doc)
+
+    def common(length: int):
+        """Starts in the item and in the doc of unmarked windows, and the keys of those of both."""
+        starts = [np.flatnonzero(a >= length) for a in ahead]
+        keys = [r.windows(s, length) for r, s in zip(running, starts, strict=True)]
+        both = [np.isin(keys[0], keys[1]), None]
+        if not both[0].any():
+            return None
+        both[1] = np.isin(keys[1], keys[0])
+        return [(s[b], k[b]) for s, k, b in zip(starts, keys, both, strict=True)]
+
     longest = min(len(item), len(doc))
     while longest >= least:
-        # Seeds by hash of `least` free tokens; each is run on as far as tokens agree and are free.
-        heads: dict[tuple, list[int]] = defaultdict(list)
-        for j in range(len(doc) - least + 1):
-            if all(doc_free[j : j + least]):
-                heads[tuple(doc[j : j + least])].append(j)
-        best, matches = least, []
-        for i in range(len(item) - least + 1):
-            if not all(item_free[i : i + least]):
-                continue
-            for j in heads.get(tuple(item[i : i + least]), ()):
-                n = least
-                while (
-                    i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]
-                    and item_free[i + n] and doc_free[j + n]
-                ):
-                    n += 1
-                if n > best:
-                    best, matches = n, [(i, j)]
-                elif n == best:
-                    matches.append((i, j))
-        if not matches:
+        ahead = [_free_ahead(f) for f in free]
+        low, high, hit = least - 1, min(longest, *(int(a.max(initial=0)) for a in ahead)), None
+        length = high
+        while low < high:
+            now = common(length)
+            if now is None:
+                high = length - 1
+            else:
+                low, hit = length, now
+            length = (low + high + 1) // 2
+        if hit is None:
             break
-        for i, j in matches:
-            if all(item_free[i : i + best]) and all(doc_free[j : j + best]):
-                item_free[i : i + best] = doc_free[j : j + best] = [False] * best
-                found.append((i, j, best))
-        longest = best
+        (item_at, item_keys), (doc_at, doc_keys) = hit
+        order = np.argsort(doc_keys, kind="stable")
+        doc_at, doc_keys = doc_at[order], doc_keys[order]
+        # Of each key, the next window of the document to look at: a marked one stays marked.
+        upto = np.searchsorted(doc_keys, item_keys, "right").tolist()
+        first = dict(zip(item_keys.tolist(), np.searchsorted(doc_keys, item_keys).tolist(), strict=True))
+        for i, key, end in zip(item_at.tolist(), item_keys.tolist(), upto, strict=True):
+            if not free[0][i] or not free[0][i + low - 1]:
+                continue
+            at = first[key]
+            while at < end:
+                j = int(doc_at[at])
+                # No tile of this round is shorter, so a window is unmarked if its ends are.
+                if free[1][j] and free[1][j + low - 1] and np.array_equal(item[i : i + low], doc[j : j + low]):
+                    free[0][i : i + low] = free[1][j : j + low] = False
+                    found.append((i, j, low))
+                    break
+                at += 1
+            first[key] = at
+        longest = low - 1
     return found
 
 
-@dataclass
-class Items:
-    """Benchmark items in a form that documents can be met with."""
-
-    names: list
-    tokens: list[list[int]]
-    vocabulary: dict[bytes, int]
-    #: By width, hashes of seeds and the items of each; items shorter than a tile have their own width.
-    seeds: dict[int, tuple[np.ndarray, list[list[int]]]]
-    tile: int
-
-    @classmethod
-    def of(cls, items: list[tuple], tile: int) -> Items:
-        vocabulary: dict[bytes, int] = {}
-        names, tokens = [], []
-        by_seed: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for name, text in items:
-            ids = [vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens_of(text or "")]
-            width = min(tile, len(ids))
-            for h in window_hashes(np.array(ids, np.uint64), width).tolist() if width else ():
-                by_seed[width][h].add(len(names))
-            names.append(name)
-            tokens.append(ids)
-        seeds = {
-            width: (np.array(sorted(of), np.uint64), [sorted(of[h]) for h in sorted(of)]) for width, of in by_seed.items()
-        }
-        return cls(names, tokens, vocabulary, seeds, tile)
-
-    def coverages(self, text: str | None) -> list[tuple[object, float, int]]:
-        """(item, coverage, longest run in tokens) of the items that share a seed with the text."""
-        if not text or not self.seeds:
-            return []
-        words = tokens_of(text)
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        near: dict[int, list[int]] = defaultdict(list)
-        for width, (seeds, seed_items) in self.seeds.items():
-            hashes = window_hashes(ids, width)
-            at = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
-            for p in np.flatnonzero(seeds[at] == hashes).tolist():
-                for k in seed_items[at[p]]:
-                    near[k].append(p)
-        out = []
-        for k, places in sorted(near.items()):
-            item = self.tokens[k]
-            width = min(self.tile, len(item))
-            # Only tokens of a shared seed can lie under a tile; -1 keeps the rest apart.
-            under = sorted({q for p in places for q in range(p, p + width)})
-            doc, last = [], None
-            for q in under:
-                if last is not None and q != last + 1:
-                    doc.append(-1)
-                doc.append(int(ids[q]))
-                last = q
-            lengths = [n for _, _, n in tiles(item, doc, width)]
-            out.append((self.names[k], sum(lengths) / len(item), max(lengths, default=0)))
-        return out
-
-
-_FOUND = "array<struct<item_id:bigint,coverage:double,longest:bigint>>"
-
-
-def coverage(text: Column | str, items: Items) -> Column:
-    """array<struct<item_id, coverage, longest>> of a text against one block of items."""
-
-    @F.arrow_udf(_FOUND)
-    def found(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int64())]))
-        rows = [[{"item_id": i, "coverage": c, "longest": n} for i, c, n in items.coverages(t)] for t in texts.to_pylist()]
-        return pa.array(rows, kind)
-
-    return found(text)
-
-
-def blocks_of(benchmark: DataFrame, tile: int = TILE, block_tokens: int = BLOCK_TOKENS) -> list[Items]:
-    """The items in blocks of a bounded size, in order of item_id."""
-    out, held, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text"))
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        size += len(tokens_of(row["text"] or ""))
-        if size >= block_tokens:
-            out.append(Items.of(held, tile))
-            held, size = [], 0
-    return [*out, Items.of(held, tile)] if held else out
-
-
-def covered_items(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, text: str = "text") -> Column:
-    """One array of (item_id, coverage, longest) for a row of docs, over all blocks."""
-    parts = [coverage(F.col(text), items) for items in blocks_of(benchmark, tile)]
-    return F.concat(*parts) if parts else F.array().cast(_FOUND)
-
-
-def _over(threshold: float, passage: int):
-    return lambda x: (x["coverage"] >= threshold) | (x["longest"] >= passage)
+def overlap(item: np.ndarray, doc: np.ndarray, tile: int) -> tuple[float, int]:
+    """The share of an item's tokens under tiles, and the longest run, of hashed tokens."""
+    width = min(tile, len(item))
+    if not width:
+        return 0.0, 0
+    shared = np.flatnonzero(np.isin(window_hashes(doc, width), window_hashes(item, width)))
+    if not len(shared):
+        return 0.0, 0
+    # Only tokens of a shared seed can lie under a tile; a marked place keeps the rest apart.
+    under = np.unique((shared[:, None] + np.arange(width)).ravel())
+    gaps = np.flatnonzero(np.diff(under) > 1) + 1
+    near = np.insert(doc[under], gaps, 0)
+    free = np.insert(np.ones(len(under), bool), gaps, False)
+    lengths = [n for _, _, n in tiles(item, near, width, free)]
+    return sum(lengths) / len(item), max(lengths, default=0)
+
+
+# --- seeds ----------------------------------------------------------------------------------------
+
+
+def _places(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The filter's place of each hash under one of its probes; bits: the logarithm of its size."""
+    return (mix(hashes + np.uint64(probe * int(M2) % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _item_seeds(tile: int):
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = tokens_of(text or "")
+                width = min(tile, len(words))
+                found = np.unique(window_hashes(words, width)) if width else np.zeros(0, np.uint64)
+                for at in range(0, len(found), 100_000):
+                    part = found[at : at + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), key)), pa.array(np.full(len(part), width, np.int32)), pa.array(part)],
+                        names=["item", "width", "seed"],
+                    )
+
+    return seeds
+
+
+def _seed_places(bits: int):
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = batch.column(0).to_numpy().view(np.uint64)
+            for probe in range(PROBES):
+                # Bitmap functions count places from 1.
+                yield pa.RecordBatch.from_arrays([pa.array(_places(seeds, probe, bits) + 1)], names=["place"])
+
+    return places
+
+
+def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the seeds as bytes, and the logarithm of its size in bits. What reaches the
+    driver are its pages, together at most FILTER_BITS."""
+    count = seeds.count()
+    bits = min(FILTER_BITS, max(1 << 15, count * BITS_A_SEED)).bit_length() - 1
+    pages = seeds.select("seed").mapInArrow(_seed_places(bits), "place long")
+    pages = pages.groupBy(F.bitmap_bucket_number("place").alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
+    )
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        page = np.frombuffer(bytes(row["bitmap"]), np.uint8)
+        at = (row["page"] - 1) * len(page)
+        out[at : at + len(page)] = page[: len(out) - at]
+    return out, bits
+
+
+def _text_seeds(widths: list[int], held, bits: int):
+    """Distinct seeds of each text that pass the filter."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for batch in batches:
+            ones, twos, texts = (batch.column(k).to_pylist() for k in range(3))
+            rows, hits = [], []
+            for k, text in enumerate(texts):
+                words = tokens_of(text or "")
+                for width in widths:
+                    left = window_hashes(words, width)
+                    for probe in range(PROBES):
+                        if not len(left):
+                            break
+                        at = _places(left, probe, bits)
+                        left = left[known[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+                    if len(left):
+                        left = np.unique(left)
+                        rows += [k] * len(left)
+                        hits.append(left)
+            if hits:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ones[k] for k in rows], pa.int64()), pa.array([twos[k] for k in rows], pa.int64()),
+                     pa.array(np.concatenate(hits).view(np.int64))],
+                    names=["one", "two", "seed"],
+                )
+
+    return seeds
+
+
+def _tiled(tile: int):
+    """Rows sorted by text, each text before the items that it meets."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = words = None
+        for batch in batches:
+            out: list[tuple] = []
+            for one, two, is_item, item_id, times, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not is_item:
+                    key, words = (one, two), tokens_of(text or "")
+                elif key == (one, two):
+                    out.append((one, two, item_id, times, *overlap(tokens_of(text or ""), words, tile)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                    names=["one", "two", "item_id", "times", "coverage", "longest"],
+                )
+
+    return rows
+
+
+# --- the operator ---------------------------------------------------------------------------------
+
+
+def _text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text; copies have the same."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def found_overlaps(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, text: str = "text") -> DataFrame:
+    """(one, two, item_id, times, coverage, longest) for each distinct text and item that share a seed;
+    (one, two) is the text's key and times says how often the benchmark has the item."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text"))
+    items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    items = materialise(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "times", "text"), "items")
+    seeds = materialise(items.select("item", "text").mapInArrow(_item_seeds(tile), "item long, width int, seed long"), "seeds")
+    widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # at most `tile` of them
+    bitmap, bits = seed_filter(seeds)
+    held = spark.sparkContext.broadcast(bitmap)
+    one, two = _text_key(F.col(text))
+    texts = docs.select(one.alias("one"), two.alias("two"), F.col(text).alias("text"))
+    hits = texts.mapInArrow(_text_seeds(widths, held, bits), "one long, two long, seed long")
+    pairs = materialise(hits.join(seeds.select("item", "seed"), "seed").select("one", "two", "item").distinct(), "pairs")
+    asked = texts.join(pairs.select("one", "two").distinct(), ["one", "two"], "left_semi").dropDuplicates(["one", "two"])
+    none = F.lit(None).cast("bigint")
+    met = asked.select("one", "two", F.lit(0).alias("is_item"), none.alias("item_id"), none.alias("times"), "text").unionByName(
+        pairs.join(items, "item").select("one", "two", F.lit(1).alias("is_item"), "item_id", "times", "text")
+    )
+    dealt = met.repartition("one", "two").sortWithinPartitions("one", "two", "is_item")
+    return materialise(
+        dealt.mapInArrow(_tiled(tile), "one long, two long, item_id long, times long, coverage double, longest long"), "overlaps"
+    )
+
+
+def _over(threshold: float, passage: int) -> Column:
+    return (F.col("coverage") >= threshold) | (F.col("longest") >= passage)
 
 
 def contamination(
@@ -191,16 +316,21 @@ def contamination(
     passage: int = PASSAGE,
 ) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (that contaminate it) and max_coverage."""
-    rows = docs.select(
-        F.col("doc_id").alias("doc_id"), covered_items(docs, benchmark, tile, text).alias("found")
+    over = _over(threshold, passage)
+    by_text = found_overlaps(docs, benchmark, tile, text).groupBy("one", "two").agg(
+        F.sum(F.when(over, F.col("times")).otherwise(0)).alias("n_items"),
+        F.array_sort(F.collect_set(F.when(over, F.col("item_id")))).alias("item_ids"),
+        F.max("coverage").alias("max_coverage"),
     )
-    over = F.filter("found", _over(threshold, passage))
+    one, two = _text_key(F.col(text))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), one.alias("one"), two.alias("two")).join(by_text, ["one", "two"], "left")
+    n_items = F.coalesce("n_items", F.lit(0)).cast("bigint")
     return rows.select(
         "doc_id",
-        (F.size(over) > 0).alias("contaminated"),
-        F.size(over).cast("bigint").alias("n_items"),
-        F.array_sort(F.array_distinct(F.transform(over, lambda x: x["item_id"]))).alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("found", lambda x: x["coverage"])), F.lit(0.0)).alias("max_coverage"),
+        (n_items > 0).alias("contaminated"),
+        n_items.alias("n_items"),
+        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+        F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"),
     )
 
 
@@ -209,4 +339,7 @@ def without_contaminated(
     passage: int = PASSAGE,
 ) -> DataFrame:
     """The clean rows of docs with all their columns."""
-    return docs.where(~F.exists(covered_items(docs, benchmark, tile, text), _over(threshold, passage)))
+    found = found_overlaps(docs, benchmark, tile, text).where(_over(threshold, passage))
+    bad = found.select(F.col("one").alias("_one"), F.col("two").alias("_two")).distinct()
+    one, two = _text_key(docs[text])
+    return docs.join(bad, (one == F.col("_one")) & (two == F.col("_two")), "left_anti")

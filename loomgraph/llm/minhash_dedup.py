@@ -38,16 +38,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialise, texts_as_bytes
+from .common import ASCII_LOWER, M1, materialise, mix, texts_as_bytes, window_hashes, word_hashes
 from .components import connected_components
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
 @dataclass(frozen=True)
 class Settings:
     """similarity is `percent` of 100; bands * rows values in a signature."""
@@ -70,37 +66,12 @@ class Settings:
         return (1 - (self.percent / 100) ** self.rows) ** self.bands
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word, held up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word_hashes = _WordHashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; words are what white space separates."""
     words = raw.translate(ASCII_LOWER).split()
-    n = len(words)
-    if not n:
+    if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, n)
-    width = min(k, n)
-    acc = np.full(n - width + 1, width, np.uint64)
-    for i in range(width):
-        acc = _mix((acc + h[i : n - width + 1 + i]) * _M1)
-    return np.unique(acc)
+    return np.unique(window_hashes(word_hashes(words), min(k, len(words))))
 
 
 @lru_cache(maxsize=4)
@@ -125,9 +96,9 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key a band, different between bands."""
     rows = sig.reshape(bands, -1).astype(np.uint64)
-    acc = np.arange(1, bands + 1, dtype=np.uint64) * _M1
+    acc = np.arange(1, bands + 1, dtype=np.uint64) * M1
     for column in rows.T:
-        acc = _mix((acc + column) * _M1)
+        acc = mix((acc + column) * M1)
     return acc.view(np.int64)
 
 

@@ -337,12 +337,77 @@ def test_decontamination_by_passage_and_short_items(spark):
     assert {r.doc_id for r in clean.collect()} - {None} == {2, 4, 6, 7, 8}
 
 
+def tiles_by_hand(a, b, least):
+    """Greedy string tiling by comparing all places with all."""
+    free_a, free_b, found = [True] * len(a), [True] * len(b), []
+    while True:
+        best, matches = least, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best:
+                    best, matches = n, [(i, j)]
+                elif n == best:
+                    matches.append((i, j))
+        if not matches:
+            return found
+        for i, j in matches:
+            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
+                free_a[i : i + best] = free_b[j : j + best] = [False] * best
+                found.append((i, j, best))
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(13)
+    some = lambda n, k: [f"{rng.choice('abc')}{rng.randint(0, k)}" for _ in range(n)]
+    items = {k: some(rng.choice([1, 3, 6, 15, 40]), rng.choice([1, 5, 30])) for k in range(25)}
+    texts = []
+    for _ in range(150):
+        words = some(rng.randint(0, 40), rng.choice([1, 5, 30]))
+        for _ in range(rng.randint(0, 3)):
+            item = rng.choice(list(items.values()))
+            a, b = sorted((rng.randint(0, len(item)), rng.randint(0, len(item))))
+            at = rng.randint(0, len(words))
+            words[at:at] = item[a:b] * rng.choice([1, 1, 3])
+        texts.append(", ".join(words).upper())
+    texts += texts[:10]
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()] + [(3, " ".join(items[3]))], "item_id long, text string")
+    got = by_id(decontaminate.contamination(documents(spark, texts).repartition(7), bench.repartition(3)))
+    held = 0
+    for k, text in enumerate(texts):
+        words, over, most = text.lower().replace(",", "").split(), [], 0.0
+        for item_id, item in items.items():
+            lengths = [n for *_, n in tiles_by_hand(item, words, min(decontaminate.TILE, len(item)))]
+            most = max(most, sum(lengths) / len(item))
+            if sum(lengths) / len(item) >= decontaminate.COVERAGE or max(lengths, default=0) >= decontaminate.PASSAGE:
+                over.append(item_id)
+        assert (got[k].contaminated, got[k].item_ids, got[k].n_items) == (bool(over), over, len(over) + (3 in over))
+        assert abs(got[k].max_coverage - most) < 1e-12
+        held += bool(over)
+    assert 20 < held < len(texts)
+
+
+def test_tiling_of_long_repetitive_texts():
+    import time
+
+    began = time.time()
+    item, doc = [1, 2] * 50, [1, 2, 1, 2, 3] * 20_000 + [1, 2] * 30_000
+    found = decontaminate.tiles(item, doc, 5)
+    assert sum(n for *_, n in found) == 100 and found[0][2] == 100
+    assert len(decontaminate.tiles([1] * 997, [1] * 500 + [2] + [1] * 300_000, 5)) == 1
+    assert len(decontaminate.tiles([1] * 10_000, ([1] * 7 + [2]) * 5000, 5)) == 1428
+    assert time.time() - began < 20
+
+
 def test_tiling_is_greedy_and_disjoint():
     rng = random.Random(2)
     for _ in range(200):
         a = [rng.randint(0, 3) for _ in range(rng.randint(0, 25))]
         b = [rng.randint(0, 3) for _ in range(rng.randint(0, 40))]
         found = decontaminate.tiles(a, b, 3)
+        assert found == tiles_by_hand(a, b, 3)
         used_a = [k for i, _, n in found for k in range(i, i + n)]
         used_b = [k for _, j, n in found for k in range(j, j + n)]
         assert len(used_a) == len(set(used_a)) and len(used_b) == len(set(used_b))
