@@ -13,9 +13,11 @@
    probability; survivors are verified exactly on their full sets. What is given out is a link for
    each newly linked member, never pairs.
 5. A large group is cut into blocks, so no task holds more than two of them. First each block is
-   searched by itself; then every block meets the pivots of all blocks, a document of each one's
-   largest component; that mostly leaves one component and few documents outside it. Any link still
-   missing has an end among those, so they are the query set that meets all blocks, in blocks.
+   searched by itself; then every block meets PIVOTS documents, of the largest components that blocks
+   have; that mostly leaves one component and few documents outside it. Any link still missing has an
+   end among those, and its ends share a bucket. So they are the query set: in parts, they meet the
+   documents that share a bucket with one of the part, by block. Where ties chain many unlike
+   documents to one group, that is as many as share buckets and not the whole group.
 6. Links are joined to the final components.
 
 Distribution: the shuffles carry band keys (8 bytes each), and then the texts of those documents
@@ -39,10 +41,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, M1, materialise, mix, texts_as_bytes, window_hashes, word_hashes
-from .components import connected_components
+from .components import connected_components, join_by_key
+
+#: Documents of a large group that each of its blocks is compared with before any others.
+PIVOTS = 16
 
 @dataclass(frozen=True)
 class Settings:
@@ -212,8 +218,9 @@ def _links_within(tasks: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     return materialise(dealt.mapInArrow(_link_blocks(s), "u long, v long"), "links")
 
 
-def _all_links(placed: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
-    """Links that join all that is linked within groups; placed: (doc_id, grp, blocks, own)."""
+def _all_links(placed: DataFrame, keyed: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Links that join all that is linked within groups; placed: (doc_id, grp, blocks, own), keyed:
+    (doc_id, key) with the buckets of each document."""
     links = _links_within(placed.select("doc_id", "grp", F.col("own").alias("a"), F.col("own").alias("b")), rows, s)
     large = placed.where("blocks > 1")
     if large.isEmpty():
@@ -225,25 +232,32 @@ def _all_links(placed: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
 
     def largest(rooted: DataFrame, *keys: str) -> DataFrame:
         sizes = rooted.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n"))
-        return sizes.groupBy(*keys).agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("pivot"))
+        return sizes.groupBy(*keys).agg(
+            F.max_by("root", F.struct("n", -F.col("root"))).alias("pivot"), F.max("n").alias("n")
+        )
 
     rooted = with_root(links)
-    pivots = largest(rooted, "grp", "own").select("grp", F.col("pivot").alias("doc_id"))
+    first = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("n"), "pivot"))
+    pivots = largest(rooted, "grp", "own").withColumn("k", first).where(F.col("k") <= PIVOTS).select("grp", F.col("pivot").alias("doc_id"))
     places = large.select("grp", F.col("own").alias("a")).distinct()
     shown = pivots.join(places, "grp").unionByName(large.select("grp", "doc_id", F.col("own").alias("a")))
     links = links.unionByName(_links_within(shown.select("doc_id", "grp", "a", F.col("a").alias("b")), rows, s))
     rooted = with_root(links)
-    outside = rooted.join(largest(rooted, "grp"), "grp").where("root <> pivot").select("doc_id", "grp", "blocks")
-    outside = materialise(outside, "outside")
+    most = largest(rooted, "grp").select("grp", "pivot")
+    outside = materialise(rooted.join(most, "grp").where("root <> pivot").select("doc_id", "grp", "blocks"), "outside")
     if outside.isEmpty():
         return links
     count = outside.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / s.block_docs).cast("int").alias("parts"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = outside.join(count, "grp").select(
-        "doc_id", "grp", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int").alias("a"), upto("blocks").alias("b")
+        "doc_id", "grp", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int").alias("a")
     )
-    asked = large.join(count, "grp").select("doc_id", "grp", upto("parts").alias("a"), F.col("own").alias("b"))
-    return links.unionByName(_links_within(asking.unionByName(asked), rows, s))
+    # Whoever shares a bucket with a document of a part meets the part; a part's own documents go to
+    # each block in which there is such a document.
+    part_keys = asking.join(keyed, "doc_id").select("key", "grp", "a").distinct()
+    mates = keyed.join(part_keys, "key").select("doc_id", "grp", "a").distinct()
+    mates = materialise(mates.join(large.select("doc_id", F.col("own").alias("b")), "doc_id").select("doc_id", "grp", "a", "b"), "mates")
+    asked = asking.join(mates.select("grp", "a", "b").distinct(), ["grp", "a"]).select("doc_id", "grp", "a", "b")
+    return links.unionByName(_links_within(asked.unionByName(mates), rows, s))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, text: str = "text") -> DataFrame:
@@ -262,22 +276,24 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, text: str
         "classes",
     )
     keyed = classes.select(F.col("rep").alias("doc_id"), F.explode("keys").alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    ties = keyed.join(buckets, "key").where(F.col("doc_id") != F.col("first"))
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = join_by_key(keyed, buckets, "key", "doc_id", classes.count() * s.bands).where(F.col("doc_id") != F.col("first"))
     groups = connected_components(ties.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
     members = groups.select("node", "root").unionByName(
         groups.select(F.col("root").alias("node"), "root").distinct()
     )
-    sized = members.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
-    weight = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
+    sized = materialise(
+        members.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("shingles")), "node"), "members"
+    )
+    weight = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("total"))
     blocks = F.greatest(
-        F.ceil(F.col("docs") / s.block_docs), F.ceil(F.col("total") * 8 / s.block_bytes), F.lit(1)
+        F.ceil(F.col("n") / s.block_docs), F.ceil(F.col("total") * 8 / s.block_bytes), F.lit(1)
     ).cast("int")
-    placed = sized.join(weight, "root").select(
+    placed = join_by_key(sized, weight, "root", "node", sized.count()).select(
         F.col("node").alias("doc_id"), F.col("root").alias("grp"), blocks.alias("blocks")
     ).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = materialise(placed, "placed")
-    links = _all_links(placed, rows.where(F.col("doc_id").isNotNull()), s)
+    links = _all_links(placed, keyed, rows.where(F.col("doc_id").isNotNull()), s)
     # A doc_id that stands in several rows with unlike texts ties the classes of those texts.
     several = named.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x != y")
     extra = (

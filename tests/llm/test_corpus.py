@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ctw_lm, minhash_dedup
+from loomgraph.llm import components, ctw_lm, minhash_dedup
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.minhash_dedup import Settings
 
@@ -59,8 +59,12 @@ def brute_components(texts, k, percent):
     return [(len(sets[i]), find(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("settings", [Settings(shingle=3, percent=85, bands=32, rows=6), Settings(), Settings(block_docs=8)])
-def test_near_duplicates(spark, settings):
+@pytest.mark.parametrize(
+    "settings", [Settings(shingle=3, percent=85, bands=32, rows=6), Settings(), Settings(block_docs=8), Settings(bands=64, rows=1, block_docs=8)]
+)
+def test_near_duplicates(spark, settings, monkeypatch):
+    """Also with small blocks, with ties that chain unlike documents, and with hubs dealt out."""
+    monkeypatch.setattr(components, "HOT_ROWS", 5 if settings.block_docs == 8 else 1000)
     texts = near_texts(random.Random(7))
     docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, n long, component_id string")
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs, settings).collect()}
@@ -103,7 +107,7 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.045
 
 
-def test_connected_components(spark):
+def test_connected_components(spark, monkeypatch):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(5, 5)]
     root = {}
@@ -117,6 +121,11 @@ def test_connected_components(spark):
     for u, v in edges:
         a, b = sorted((find(u), find(v)))
         root[b] = a
+    edges += [(500, 600 + k) for k in range(50)] + [(700 + k, 650) for k in range(50)]
+    for u, v in edges[-100:]:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    monkeypatch.setattr(components, "HOT_ROWS", 10)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
