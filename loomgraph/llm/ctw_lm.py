@@ -444,8 +444,9 @@ def _score_blocks(depth: int, total: int, distinct: int):
 
     def scored(answers: pa.Table, docs: pa.Table) -> pa.Table:
         words = answers.filter(answers.column("word").is_valid())
-        known = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist(), strict=True))
-        log_of = {w: np.log10((c + 0.5) / unit) for w, c in known.items()}
+        place = {w: k for k, w in enumerate(words.column("word").to_pylist())}
+        counts = words.column("value").to_numpy()
+        known, log_of = (counts > 0).astype(np.int64), np.log10((counts + 0.5) / unit)
         grams = answers.filter(answers.column("gram").is_valid())
         keys, log_p = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
         order = np.argsort(keys)
@@ -458,9 +459,10 @@ def _score_blocks(depth: int, total: int, distinct: int):
                 for text in batch.column("text"):
                     raw = text.as_py()
                     tokens = [*words_of(raw), END]
+                    at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
                     out["n_tokens"].append(len(tokens))
-                    out["n_known"].append(sum(known[w] > 0 for w in tokens))
-                    out["base_score"].append(float(sum(log_of[w] for w in tokens)))
+                    out["n_known"].append(int(known[at].sum()))
+                    out["base_score"].append(float(log_of[at].sum()))
                     # In order, neighbours are found near each other.
                     found = np.searchsorted(keys, np.sort(grams_of(raw, depth)))
                     out["score"].append(float(log_p[found].sum()))
