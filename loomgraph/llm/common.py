@@ -91,11 +91,14 @@ def _sweep() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one is made only where the session names none."""
+    """The folder that all executors see; one is made only where the session names none and
+    everything runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
         base = spark.sparkContext.getCheckpointDir() or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         base = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(base)
     return base

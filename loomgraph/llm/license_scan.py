@@ -162,14 +162,18 @@ def _automaton():
 
 
 def _expressions(raw: bytes) -> Iterator[bytes]:
-    """What stands behind each tag, up to the end of its line or a comment's end."""
-    lower, at = raw.translate(ASCII_LOWER), 0
-    while (at := lower.find(TAG, at)) >= 0:
+    """What stands behind each tag, up to the end of its line, a comment's end or the next tag."""
+    lower = raw.translate(ASCII_LOWER)
+    at = lower.find(TAG)
+    while at >= 0:
         at += len(TAG)
-        line = lower[at:].split(b"\n", 1)[0] if b"\n" in lower[at:] else lower[at:]
-        line = line.lstrip(b" \t")
+        onward = lower.find(TAG, at)
+        end = onward if onward >= 0 else len(lower)
+        stop = lower.find(b"\n", at, end)
+        line = lower[at : stop if stop >= 0 else end].lstrip(b" \t")
         if line[:1] == b":":
             yield re.split(rb"\*/|-->|[,;#\"']", line[1:], maxsplit=1)[0].strip().rstrip(b".")
+        at = onward
 
 
 def scan_text(raw: bytes) -> tuple:

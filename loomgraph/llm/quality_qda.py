@@ -71,10 +71,10 @@ def features(text: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Means, cached Cholesky factors of the shrunk covariances and log-determinants, by class."""
+    """Means, inverted Cholesky factors of the shrunk covariances and log-determinants, by class."""
 
     means: np.ndarray
-    factors: np.ndarray
+    whiten: np.ndarray
     log_dets: np.ndarray
     log_priors: np.ndarray
     share: float
@@ -82,8 +82,8 @@ class Model:
     names: tuple[str, ...] = field(default=FEATURES)
 
     def log_density(self, x: np.ndarray, k: int) -> np.ndarray:
-        z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
-        return -0.5 * (np.einsum("ij,ij->j", z, z) + self.log_dets[k])
+        z = (x - self.means[k]) @ self.whiten[k].T
+        return -0.5 * (np.einsum("ij,ij->i", z, z) + self.log_dets[k])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.fitted:
@@ -108,7 +108,7 @@ def fit_moments(n: np.ndarray, sums: np.ndarray, products: np.ndarray, alpha: fl
         own = (1 - alpha) * scatter[k] / max(n[k] - 1, 1) + alpha * pooled
         factors[k] = np.linalg.cholesky((1 - gamma) * own + gamma * np.diag(np.diag(own)) + floor)
     log_dets = 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1)
-    return Model(means, factors, log_dets, np.log(n / total), share)
+    return Model(means, np.linalg.inv(factors), log_dets, np.log(n / total), share)
 
 
 def lowest_labels(labels: DataFrame) -> DataFrame:

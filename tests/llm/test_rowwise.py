@@ -65,6 +65,16 @@ def test_license_scan(spark, texts):
     assert got[len(texts) - 1].n_bad_expressions == 1
 
 
+def test_license_tags_of_long_texts():
+    import time
+
+    began = time.time()
+    for between in (b"\n", b" ", b" or x\n"):
+        assert license_scan.scan_text((b"SPDX-License-Identifier: MIT" + between) * 30_000)[-1] == 0
+    assert license_scan.scan_text(b"SPDX-License-Identifier: " + b"MIT or " * 100_000)[-1] == 1
+    assert time.time() - began < 20
+
+
 def test_shunting_yard():
     assert license_scan.to_postfix(b"a or b and c with d") == [b"a", b"b", b"c", b"d", b"with", b"and", b"or"]
     assert license_scan.evaluate(b"(gpl-3.0 or mit) and agpl-3.0").restricts == 3
