@@ -1,7 +1,8 @@
 """Graph operators over an edge table (source, target, relation, confidence_tier, ...).
 
-Frontiers, neighbourhoods and paths are bounded by their own limits, so those small sides alone are
-broadcast; what grows with the graph is only ever filtered, aggregated or joined by key.
+Frontiers, neighbourhoods and paths are bounded by their own limits. They are lists of ids that go
+into filters, which reach the scan; so a level of a search is one filtered pass and no join. What
+grows with the graph is only ever filtered, aggregated or joined by key.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TIERS
+from .scratch import materialise
 
 #: Limits of graph queries.
 MAX_DEPTH, MAX_NODES, MAX_EDGES = 3, 100, 200
@@ -65,48 +67,48 @@ def hub_threshold(degrees: DataFrame, percentile: float = HUB_PERCENTILE, floor:
 def top_entities(
     edges: DataFrame, entities: DataFrame, limit: int = 3, include_tests: bool = False
 ) -> DataFrame:
-    """The best-connected entities below the hub threshold: id, kind, name, path, degree."""
-    degrees = degree_counts(edges)
+    """The best-connected entities below the hub threshold: id, kind, name, path, degree.
+
+    Degrees are counted and written once; the threshold comes from their histogram and is a number by
+    the time they are read again, so hubs are filtered out before the join."""
+    degrees = materialise(degree_counts(edges), "degrees")
+    threshold = hub_threshold(degrees).first()["threshold"]
     shown = entities
     if not include_tests:
         shown = entities.where(
             (F.col("kind") != "test") & ~F.col("is_test")
             & ~F.lower("path").like("tests/%") & ~F.lower("path").like("test/%")
         )
-    ranked = (
-        shown.join(degrees, shown["id"] == degrees["node_id"], "left")
-        .crossJoin(F.broadcast(hub_threshold(degrees)))  # one row
-        .select("id", "kind", "name", "path", F.coalesce("degree", F.lit(0)).alias("degree"), "threshold")
-    )
-    return (
-        ranked.where(F.col("degree") < F.col("threshold"))
-        .drop("threshold")
-        .orderBy(F.desc("degree"), "name", "id")
-        .limit(limit)
+    ranked = shown.join(degrees, shown["id"] == degrees["node_id"], "left").select(
+        "id", "kind", "name", "path", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree")
     )
+    return ranked.where(F.col("degree") < threshold).orderBy(F.desc("degree"), "name", "id").limit(limit)
 
 
-def touching(edges: DataFrame, nodes: DataFrame, name: str = "id") -> DataFrame:
-    """Edges with an end among nodes: a union of two semi-joins, since OR would defeat hashing."""
-    few = nodes.select(F.col(name).alias("_n")).distinct()
-    one = edges.join(few, edges["source"] == few["_n"], "left_semi")
-    other = edges.join(few, edges["target"] == few["_n"], "left_semi")
-    return one.unionByName(other).distinct()
+def touching(edges: DataFrame, ids: list[str]) -> DataFrame:
+    """Edges with an end among a few ids, at most MAX_VISITED."""
+    if len(ids) > MAX_VISITED:
+        raise ValueError(f"more than {MAX_VISITED} ids")
+    return edges.where(F.col("source").isin(ids) | F.col("target").isin(ids))
 
 
 def adjacent_edges(
-    edges: DataFrame, nodes: DataFrame, limit: int, relations: list[str] | None = None, tiers: list[str] | None = None
+    edges: DataFrame, ids: list[str], limit: int, relations: list[str] | None = None, tiers: list[str] | None = None
 ) -> DataFrame:
-    found = touching(edges.where(edge_filter(relations, tiers)), nodes)
+    found = touching(edges.where(edge_filter(relations, tiers)), ids)
     return found.orderBy("source", "relation", "target").limit(limit)
 
 
 def induced_edges(
-    edges: DataFrame, nodes: DataFrame, limit: int, relations: list[str] | None = None, tiers: list[str] | None = None
+    edges: DataFrame, nodes: DataFrame | list[str], limit: int, relations: list[str] | None = None, tiers: list[str] | None = None
 ) -> DataFrame:
-    few = nodes.select(F.col("id").alias("_n")).distinct()
+    """Edges with both ends among the nodes: a filter for a list of ids, two semi-joins for a table."""
     kept = edges.where(edge_filter(relations, tiers))
-    kept = kept.join(few, kept["source"] == few["_n"], "left_semi").join(few, F.col("target") == few["_n"], "left_semi")
+    if isinstance(nodes, list):
+        kept = kept.where(F.col("source").isin(nodes) & F.col("target").isin(nodes))
+    else:
+        few = nodes.select(F.col("id").alias("_n")).distinct()
+        kept = kept.join(few, kept["source"] == few["_n"], "left_semi").join(few, F.col("target") == few["_n"], "left_semi")
     return kept.orderBy("source", "relation", "target").limit(limit)
 
 
@@ -121,7 +123,7 @@ def _level(edges: DataFrame, frontier: list[str], seen: set[str], room: int) ->
     """New nodes next to a frontier, in edge order, at most `room`, each with its first edge.
 
     What comes to the driver is bounded: at most MAX_FRONTIER_EDGES edges in their order."""
-    near = touching(edges, ids_frame(edges, frontier)).orderBy("source", "relation", "target")
+    near = touching(edges, frontier).orderBy("source", "relation", "target")
     rows = near.limit(MAX_FRONTIER_EDGES + 1).collect()
     cut = len(rows) > MAX_FRONTIER_EDGES
     found: dict[str, tuple] = {}
@@ -149,7 +151,7 @@ def neighbourhood(
         truncated = truncated or cut or more
         frontier = [n for n, _ in new]
         nodes |= dict.fromkeys(frontier, level)
-    among = induced_edges(kept, ids_frame(edges, list(nodes)), MAX_EDGES + 1).collect()
+    among = induced_edges(kept, list(nodes), MAX_EDGES + 1).collect()
     truncated = truncated or len(among) > MAX_EDGES
     return Neighbourhood(
         list(nodes.items()), [(r["source"], r["relation"], r["target"]) for r in among[:MAX_EDGES]], truncated
@@ -162,7 +164,7 @@ def neighbourhood_frame(edges: DataFrame, start: str, depth: int, entities: Data
     rows = edges.sparkSession.createDataFrame(found.nodes, "id string, level int")
     if entities is None:
         return rows
-    named = entities.select(F.col("id").alias("_id"), "kind", "name")
+    named = entities.select(F.col("id").alias("_id"), "kind", "name").where(F.col("id").isin([n for n, _ in found.nodes]))
     return rows.join(named, rows["id"] == named["_id"], "left").select(
         "id", "level", F.coalesce("kind", F.lit("external")).alias("kind"), F.coalesce("name", "id").alias("name")
     )
@@ -234,15 +236,13 @@ def dependents(
     return probe.orderBy("path").limit(limit), probe.agg((F.count(F.lit(1)) > limit).alias("cap_hit"))
 
 
-def connected_candidates(edges: DataFrame, anchors: DataFrame, candidates: DataFrame, limit: int = 128) -> DataFrame:
+def connected_candidates(edges: DataFrame, anchors: list[str], candidates: DataFrame, limit: int = 128) -> DataFrame:
     """Candidates with a direct edge to an anchor, looking at the first `limit` edges of the anchors."""
     near = touching(edges.select("source", "relation", "target"), anchors)
     near = near.orderBy("source", "relation", "target").limit(limit)
-    a = anchors.select(F.col("id").alias("_a"))
+    ends = F.array(F.when(F.col("source").isin(anchors), F.col("target")), F.when(F.col("target").isin(anchors), F.col("source")))
+    both = near.select(F.explode(F.array_compact(ends)).alias("id")).distinct()
     c = candidates.select(F.col("id").alias("_k"))
-    out = near.join(a, near["source"] == a["_a"], "left_semi").select(F.col("target").alias("id"))
-    into = near.join(a, near["target"] == a["_a"], "left_semi").select(F.col("source").alias("id"))
-    both = out.unionByName(into).distinct()
     return both.join(c, both["id"] == c["_k"], "left_semi")
 
 

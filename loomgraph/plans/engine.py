@@ -127,7 +127,7 @@ class Engine:
         targets = self.spark.createDataFrame(aimed, "id string, target_position int, target_exact boolean")
         anchors = targets.select("id") if aimed else exact.select("id") if names else fts.where("fts_position = 0").select("id")
         evidence = fts.join(targets, "id", "full").join(exact.select("id", F.lit(True).alias("exact_name")), "id", "full")
-        near = graph.connected_candidates(tables["edges"], anchors, evidence).select("id", F.lit(True).alias("graph_near"))
+        near = graph.connected_candidates(tables["edges"], [r["id"] for r in anchors.collect()], evidence).select("id", F.lit(True).alias("graph_near"))
         rows = (
             symbols.join(evidence, "id").join(near, "id", "left")
             .withColumn("exact_name", F.coalesce("exact_name", F.lit(False))).withColumn("graph_near", F.coalesce("graph_near", F.lit(False)))

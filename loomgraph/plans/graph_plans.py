@@ -52,8 +52,7 @@ WHERE (source IN ('nation::3', 'supplier::1') OR target IN ('nation::3', 'suppli
 ORDER BY source, relation, target LIMIT 200""")
 def adjacent_edges_filtered(spark, sf_dir):
     edges = g_edges(spark, sf_dir)
-    few = graph.ids_frame(edges, ["nation::3", "supplier::1"])
-    return graph.adjacent_edges(edges, few, 200, [" in", "supplies", ""], ["EXTRACTED", "AMBIGUOUS"])
+    return graph.adjacent_edges(edges, ["nation::3", "supplier::1"], 200, [" in", "supplies", ""], ["EXTRACTED", "AMBIGUOUS"])
 
 
 @query("induced_subgraph", f"""WITH {G_EDGES}, few AS (
@@ -108,29 +107,17 @@ def neighborhood_edges(spark, sf_dir):
     return spark.createDataFrame(found.edges, "source string, relation string, target string")
 
 
-_SMALL = ("nation", "region", "supplier")
-
-
-def _small_edges(spark, sf_dir):
-    return g_edges(spark, sf_dir).where(
-        (F.col("relation") == "in") & F.substring_index("source", "::", 1).isin("nation", "supplier")
-    )
-
-
-@query("shortest_path_length", """WITH RECURSIVE e AS (
-  SELECT 'nation::' || n_nationkey AS a, 'region::' || n_regionkey AS b FROM nation
-  UNION ALL SELECT 'supplier::' || s_suppkey, 'nation::' || s_nationkey FROM supplier
-), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(id, d) AS (
-  SELECT 'supplier::1', 0 UNION SELECT u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < 6
+@query("shortest_path_length", f"""WITH RECURSIVE {G_EDGES}, e AS (SELECT source AS a, target AS b FROM g_edges WHERE relation = 'in'),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(id, d) AS (
+  SELECT 'supplier::1', 0 UNION SELECT u.b, w.d + 1 FROM w JOIN u ON u.a = w.id WHERE w.d < 15
 )
 SELECT t.target, CAST(min(w.d) AS INTEGER) AS length FROM (VALUES ('supplier::1'), ('region::0'), ('region::4'), ('nation::5'), ('nation::99')) t(target)
 LEFT JOIN w ON w.id = t.target GROUP BY t.target""")
 def shortest_path_length(spark, sf_dir):
-    edges = _small_edges(spark, sf_dir).cache()
     rows = []
     for target in ("supplier::1", "region::0", "region::4", "nation::5", "nation::99"):
-        path = graph.shortest_path(edges, "supplier::1", target)
-        rows.append((target, None if path is None or len(path) > 7 else len(path) - 1))
+        path = graph.shortest_path(g_edges(spark, sf_dir), "supplier::1", target, ["in"])
+        rows.append((target, None if path is None else len(path) - 1))
     return spark.createDataFrame(rows, "target string, length int")
 
 
@@ -143,7 +130,7 @@ def shortest_path_steps(spark, sf_dir):
         table(spark, sf_dir, "supplier").where("s_suppkey = 1")
         .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).first()["n_regionkey"]
     )
-    path = graph.shortest_path(_small_edges(spark, sf_dir), "supplier::1", f"region::{region}") or []
+    path = graph.shortest_path(g_edges(spark, sf_dir), "supplier::1", f"region::{region}", ["in"]) or []
     return spark.createDataFrame([(k, n, r) for k, (n, r) in enumerate(path)], "step int, id string, relation string")
 
 
@@ -186,9 +173,8 @@ SELECT DISTINCT id FROM (SELECT target AS id FROM near WHERE source IN ('supplie
 WHERE id IN (SELECT 'part::' || p_partkey FROM part WHERE p_size < 25)""")
 def near_anchor_candidates(spark, sf_dir):
     edges = g_edges(spark, sf_dir)
-    anchors = graph.ids_frame(edges, ["supplier::1", "supplier::2"])
     parts = table(spark, sf_dir, "part").where("p_size < 25").select(F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("id"))
-    return graph.connected_candidates(edges, anchors, parts)
+    return graph.connected_candidates(edges, ["supplier::1", "supplier::2"], parts)
 
 
 @query("orphan_edges", f"""WITH {G_EDGES}, {G_ENTITIES}

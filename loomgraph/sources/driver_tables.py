@@ -20,19 +20,21 @@ def g_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target, relation, confidence_tier over regions, nations, customers, suppliers, orders, parts."""
     t = lambda name: table(spark, sf_dir, name)
 
-    def edges(df: DataFrame, source, target, relation: str, tier: str) -> DataFrame:
+    def edges(df: DataFrame, source: tuple[str, str], target: tuple[str, str], relation: str, tier: str) -> DataFrame:
         return df.select(
-            source.alias("source"), target.alias("target"), F.lit(relation).alias("relation"),
+            node(*source).alias("source"), node(*target).alias("target"), F.lit(relation).alias("relation"),
             F.lit(tier).alias("confidence_tier"),
         )
 
+    # Repeated edges go while their ends are still numbers; a filter on the ids passes below that.
+    lines = lambda *keys: t("lineitem").select(*keys).distinct()
     parts = [
-        edges(t("customer"), node("customer", "c_custkey"), node("nation", "c_nationkey"), "in", "EXTRACTED"),
-        edges(t("nation"), node("nation", "n_nationkey"), node("region", "n_regionkey"), "in", "EXTRACTED"),
-        edges(t("supplier"), node("supplier", "s_suppkey"), node("nation", "s_nationkey"), "in", "EXTRACTED"),
-        edges(t("orders"), node("order", "o_orderkey"), node("customer", "o_custkey"), "placed_by", "EXTRACTED"),
-        edges(t("lineitem"), node("order", "l_orderkey"), node("part", "l_partkey"), "contains", "INFERRED").distinct(),
-        edges(t("lineitem"), node("supplier", "l_suppkey"), node("part", "l_partkey"), "supplies", "AMBIGUOUS").distinct(),
+        edges(t("customer"), ("customer", "c_custkey"), ("nation", "c_nationkey"), "in", "EXTRACTED"),
+        edges(t("nation"), ("nation", "n_nationkey"), ("region", "n_regionkey"), "in", "EXTRACTED"),
+        edges(t("supplier"), ("supplier", "s_suppkey"), ("nation", "s_nationkey"), "in", "EXTRACTED"),
+        edges(t("orders"), ("order", "o_orderkey"), ("customer", "o_custkey"), "placed_by", "EXTRACTED"),
+        edges(lines("l_orderkey", "l_partkey"), ("order", "l_orderkey"), ("part", "l_partkey"), "contains", "INFERRED"),
+        edges(lines("l_suppkey", "l_partkey"), ("supplier", "l_suppkey"), ("part", "l_partkey"), "supplies", "AMBIGUOUS"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
