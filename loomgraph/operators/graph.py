@@ -214,14 +214,14 @@ def dependents(
     entities: DataFrame,
     changed: DataFrame,
     processed: DataFrame,
-    limit: int = 50,
+    limit: int | None = 50,
     to_source: tuple[str, ...] = TO_SOURCE,
     to_target: tuple[str, ...] = TO_TARGET,
 ) -> tuple[DataFrame, DataFrame]:
     """Paths of what depends on changed nodes, and whether the limit cut them off.
 
     Which end depends on which follows from the relation. Paths already processed are taken out
-    before the limit, never after it."""
+    before the limit, never after it. Without a limit all are given, and nothing was cut off."""
     c = changed.select(F.col("id").alias("_c"))
     backward = edges.where(F.col("relation").isin(*to_source))
     forward = edges.where(F.col("relation").isin(*to_target))
@@ -232,6 +232,8 @@ def dependents(
     )
     paths = found.join(entities.select("id", "path"), "id").select("path").distinct()
     rest = paths.join(processed.select("path"), "path", "left_anti")
+    if limit is None:
+        return rest, rest.sparkSession.createDataFrame([(False,)], "cap_hit boolean")
     probe = rest.orderBy("path").limit(limit + 1)
     return probe.orderBy("path").limit(limit), probe.agg((F.count(F.lit(1)) > limit).alias("cap_hit"))
 

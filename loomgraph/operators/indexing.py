@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .resolution import binding_status, module_files, resolve_references
+from .lexical import WEIGHTS, lengths, stored_postings
+from .resolution import binding_status, method_parents, module_files, resolve_references
 from .store import last_wins, occurrence_key, occurrence_ordinals
 
 
@@ -35,15 +36,19 @@ def _modules(parsed: DataFrame) -> DataFrame:
     return parsed.select(module.alias("module_name"), T.file_id(path).alias("file_id"), "path", "language")
 
 
+def wanted_module(language: Column) -> Column:
+    """The module that an import (name) of a module (module_name) means."""
+    name, module = F.col("name"), F.col("module_name")
+    return F.when(language == "python", T.resolve_dotted(name, module)).otherwise(T.resolve_relative(name, module))
+
+
 def _resolved_imports(parsed: DataFrame, modules: DataFrame, by_module: DataFrame) -> DataFrame:
     rows = (
         parsed.select(T.file_id(F.col("path")).alias("file_id"), "path", "language", F.explode("imports").alias("i"))
         .select("file_id", "path", "language", "i.*")
         .join(modules.select("file_id", "module_name"), "file_id")
     )
-    name, module = F.col("name"), F.col("module_name")
-    wanted = F.when(F.col("language") == "python", T.resolve_dotted(name, module)).otherwise(T.resolve_relative(name, module))
-    rows = rows.withColumn("wanted", wanted).withColumn("index", F.concat("wanted", F.lit(".index")))
+    rows = rows.withColumn("wanted", wanted_module(F.col("language"))).withColumn("index", F.concat("wanted", F.lit(".index")))
     direct = by_module.select(F.col("module_name").alias("wanted"), F.col("file_id").alias("direct"))
     index = by_module.select(F.col("module_name").alias("index"), F.col("file_id").alias("through_index"))
     joined = rows.join(direct, "wanted", "left").join(index, "index", "left")
@@ -51,8 +56,10 @@ def _resolved_imports(parsed: DataFrame, modules: DataFrame, by_module: DataFram
     return joined.withColumn("resolved_file_id", F.coalesce("direct", script))
 
 
-def build_tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """All tables of schemas.TABLES but metadata. Cache or write `parsed` first: it is used often."""
+def build_tables(parsed: DataFrame, base: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All tables of schemas.TABLES but metadata, of the files in `parsed`. Write `parsed` first: it is
+    used often. base: tables of the other files, which names and modules may resolve to."""
+    others = lambda name, df, *columns: df if base is None else df.unionByName(base[name].select(*columns))
     files = _files(parsed)
     every = _all_symbols(parsed)
     symbols = every.select(
@@ -62,10 +69,20 @@ def build_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     # A parent that was no class at top level is not there; it is no parent then.
     parents = symbols.select(F.col("id").alias("_p"))
     symbols = symbols.join(parents, symbols["parent_id"] == parents["_p"], "left").withColumn("parent_id", F.col("_p")).drop("_p")
+    # A method whose class is in another file belongs to the class of that name that is nearest.
+    placed = others("symbols", symbols, *symbols.columns).where("kind = 'class'").select("id", "name", owner_of("file_id").alias("path"))
+    orphans = symbols.where("kind = 'method' AND parent_id IS NULL").select("id", "name", owner_of("file_id").alias("path"))
+    elsewhere = method_parents(orphans, placed).select(F.col("id").alias("_m"), F.col("parent_id").alias("_c"))
+    symbols = symbols.join(elsewhere, symbols["id"] == elsewhere["_m"], "left").withColumn("parent_id", F.coalesce("parent_id", "_c")).drop("_m", "_c")
     modules = _modules(parsed)
-    by_module = module_files(modules.select("module_name", "file_id"), files)
+    by_module = module_files(
+        others("module_lookup", modules.select("module_name", "file_id"), "module_name", "file_id"), others("files", files.select("id", "path"), "id", "path")
+    )
     names = F.explode(F.array_distinct(F.array("name", T.short_name(F.col("name")))))
-    lookup = symbols.select(names.alias("name"), "file_id", F.col("id").alias("symbol_id"))
+    own_lookup = symbols.select(names.alias("name"), "file_id", F.col("id").alias("symbol_id"))
+    lookup = own_lookup if base is None else own_lookup.unionByName(
+        base["symbol_lookup"].select(F.col("lookup_name").alias("name"), T.file_id(owner_of("symbol_id")).alias("file_id"), "symbol_id")
+    )
 
     found = _resolved_imports(parsed, modules, by_module)
     imports = found.select(
@@ -130,16 +147,23 @@ def build_tables(parsed: DataFrame) -> dict[str, DataFrame]:
         "files": files,
         "symbols": symbols,
         "module_lookup": modules.select("module_name", "file_id").distinct(),
-        "symbol_lookup": lookup.select(F.col("name").alias("lookup_name"), "symbol_id").distinct(),
+        "symbol_lookup": own_lookup.select(F.col("name").alias("lookup_name"), "symbol_id").distinct(),
         "edges": edges.select("source", "target", "relation", "confidence", "confidence_tier"),
         "imports": imports,
         "import_bindings": bindings,
         "edge_occurrences": occurrences,
         "summaries": documents.select("node_id", "source_hash", "summary", "kind", F.lit(0.0).alias("updated_at")),
         "lexical_documents": documents.select("node_id", "name", "path", "signature", "docstring", "summary", "source"),
+        "postings": stored_postings(documents),
+        "lexical_lengths": lengths(documents, list(WEIGHTS)),
     }
 
 
+def owner_of(column: str) -> Column:
+    """The path inside an id of a file or symbol."""
+    return F.split(F.col(column), "::")[1]
+
+
 def entities(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files and symbols as one relation: id, kind, name, path, is_test, start_line, end_line, source_hash, file_id."""
     paths = files.select(F.col("id").alias("file_id"), "path")

@@ -1,4 +1,5 @@
-"""Weighted BM25 over an inverted index kept as tables: postings, document lengths, corpus totals."""
+"""Weighted BM25 over an inverted index kept as tables (postings by term, document lengths), or over
+documents directly."""
 
 from __future__ import annotations
 
@@ -33,40 +34,62 @@ def lengths(docs: DataFrame, columns: list[str], key: str = "node_id") -> DataFr
     return docs.select(F.col(key).alias("node_id"), total.cast("double").alias("dl"))
 
 
-def bm25(docs: DataFrame, query_terms: list[str], weights: dict[str, float] | None = None, key: str = "node_id") -> DataFrame:
-    """(node_id, score, dl) of documents with any query term; a repeated query term counts again.
+def weighted_terms(docs: DataFrame, weights: dict[str, float], key: str = "node_id", only: list[str] | None = None) -> DataFrame:
+    """(node_id, dl, term, tf): one pass over the documents; with `only`, just those terms go on."""
+    columns = list(weights)
+    split = docs.select(F.col(key).alias("node_id"), *[terms_of(F.col(c)).alias(f"_t{k}") for k, c in enumerate(columns)])
+    wanted = lambda terms: F.filter(terms, lambda t: t.isin(only)) if only else F.col(terms)
+    weighing = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
+    pairs = [F.transform(wanted(f"_t{k}"), weighing(weights[c])) for k, c in enumerate(columns)]
+    total = reduce(lambda a, b: a + b, (F.size(f"_t{k}") for k in range(len(columns))))
+    # The length is a column before terms become rows; beside explode() it would be counted for each.
+    rows = split.select("node_id", total.cast("double").alias("dl"), F.concat(*pairs).alias("xs"))
+    rows = rows.select("node_id", "dl", F.explode("xs").alias("x"))
+    return rows.groupBy("node_id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
-    The query is filtered into the postings before anything is grouped, so only matching terms are
-    shuffled; corpus totals are one row.
-    """
-    weights = weights or WEIGHTS
-    spark = docs.sparkSession
+
+def stored_postings(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "node_id") -> DataFrame:
+    """(node_id, dl, term, tf), in order of term, to be written: a query's filter on term then reads
+    only the row groups that have its terms."""
+    found = weighted_terms(docs, weights or WEIGHTS, key)
+    return found.repartitionByRange("term").sortWithinPartitions("term", "node_id")
+
+
+def totals(dl: DataFrame) -> DataFrame:
+    """One row: number of documents and their mean length."""
+    return dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+
+
+def ranked(matched: DataFrame, corpus: DataFrame, query_terms: list[str]) -> DataFrame:
+    """(node_id, score, dl) from postings (node_id, dl, term, tf) that have the query's terms; a
+    repeated query term counts again. corpus: one row of totals()."""
     asked: dict[str, int] = {}
     for t in query_terms:
         asked[t] = asked.get(t, 0) + 1
+    spark = matched.sparkSession
     if not asked:
         return spark.createDataFrame([], "node_id string, score double, dl double")
-    matched = None
-    for c, w in weights.items():
-        hit = F.filter(terms_of(F.col(c)), lambda t: t.isin(*asked))
-        one = docs.select(F.col(key).alias("node_id"), F.explode(hit).alias("term"), F.lit(float(w)).alias("w"))
-        matched = one if matched is None else matched.unionByName(one)
-    tf = matched.groupBy("node_id", "term").agg(F.sum("w").alias("tf"))
-    dl = lengths(docs, list(weights), key)
-    totals = dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    matched = matched.where(F.col("term").isin(list(asked)))
     q = spark.createDataFrame(list(asked.items()), "term string, times int")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals))  # a row for each query term
+    df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # a row for each query term
     raw = F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.join(F.broadcast(q), "term").select(
         "term", "avgdl", (F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)) * F.col("times")).alias("idf")
     )
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    scored = tf.join(F.broadcast(idf), "term").join(dl, "node_id")  # idf: a row for each query term
+    scored = matched.join(F.broadcast(idf), "term")  # idf: a row for each query term
     return scored.groupBy("node_id").agg(
         F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"), F.first("dl").alias("dl")
     )
 
 
+def bm25(docs: DataFrame, query_terms: list[str], weights: dict[str, float] | None = None, key: str = "node_id") -> DataFrame:
+    """As ranked(), for documents without stored postings: only the query's terms are shuffled."""
+    weights = weights or WEIGHTS
+    matched = weighted_terms(docs, weights, key, list(dict.fromkeys(query_terms)))
+    return ranked(matched, totals(lengths(docs, list(weights), key)), query_terms)
+
+
 def top_documents(scores: DataFrame, limit: int) -> DataFrame:
     """The best documents; ties go by id, so that the limit is deterministic. Rounding first keeps
     the order from depending on how a sum was split."""

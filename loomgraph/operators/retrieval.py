@@ -161,21 +161,31 @@ def inferred_edges(occurrences: DataFrame, symbols: DataFrame, limit: int = 48)
 
 
 def pack_greedily(rows: DataFrame, group: str, order: list[str], size: str, budget: int, limit: int = MAX_SLICES) -> DataFrame:
-    """(group, kept, used): fills a budget in order, skipping what does not fit. At most `limit`
-    rows of a group are looked at, so the fold's array is bounded."""
-    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    first = rows.withColumn("_k", rank).where(F.col("_k") <= limit)
-    listed = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_k", F.col(size).cast("bigint").alias("size"), *order))).alias("xs"))
+    """(group, kept, used): fills a budget in order with at most `limit` rows, skipping what does not
+    fit; groups of which nothing fits are there with nothing kept.
+
+    Of rows of one size the fold can keep the first ones only, since room never grows: so the first
+    min(limit, budget / size) of each size stand for the group, whatever its length, and the fold's
+    array is bounded. The last column of `order` names the kept rows."""
+    sized = rows.withColumn("_size", F.col(size).cast("bigint"))
+    rank = F.row_number().over(W.partitionBy(group, "_size").orderBy(*order))
+    fitting = sized.where(F.col("_size") <= budget).withColumn("_k", rank).where(F.col("_k") <= limit)
+    fitting = fitting.where(F.col("_k") * F.col("_size") <= budget)
+    listed = fitting.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("_size").alias("_size")))).alias("xs"))
     id_ = order[-1]
     none = F.array().cast("array<bigint>")
     folded = F.aggregate(
         "xs", F.struct(F.lit(0).cast("bigint").alias("used"), none.alias("kept")),
         lambda acc, x: F.when(
-            acc["used"] + x["size"] <= budget,
-            F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["kept"], F.array(x[id_].cast("bigint"))).alias("kept")),
+            (acc["used"] + x["_size"] <= budget) & (F.size(acc["kept"]) < limit),
+            F.struct((acc["used"] + x["_size"]).alias("used"), F.concat(acc["kept"], F.array(x[id_].cast("bigint"))).alias("kept")),
         ).otherwise(acc),
     )
-    return listed.select(group, folded.alias("f")).select(group, "f.kept", "f.used")
+    every = rows.select(F.col(group).alias("_g")).distinct()
+    out = listed.select(F.col(group).alias("_h"), folded.alias("f"))
+    return every.join(out, F.col("_g").eqNullSafe(F.col("_h")), "left").select(
+        F.col("_g").alias(group), F.coalesce("f.kept", none).alias("kept"), F.coalesce("f.used", F.lit(0)).cast("bigint").alias("used")
+    )
 
 
 def select_roles(rows: DataFrame, order: list[str], role_take: dict[str, int], limit: int) -> DataFrame:

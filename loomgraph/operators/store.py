@@ -1,7 +1,10 @@
 """Set operations, upserts, cascades and versioned snapshots of the engine's tables.
 
-A snapshot is a directory of Parquet tables; publishing validates the tables and then replaces one
-pointer file, so readers see the old snapshot or the new one, never a mixture.
+A snapshot is a list of layers, each a directory of Parquet tables. A full build is one layer. A
+refresh adds one with the rows of the files it touched; reading takes those files' rows from there
+and leaves them out of the layers below, so a small change writes few rows. Publishing validates the
+tables and then replaces one pointer file: readers see the old snapshot or the new one, never a
+mixture, and the layers of the last KEPT_SNAPSHOTS stay for those who still read them.
 """
 
 from __future__ import annotations
@@ -14,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schemas import FOREIGN_KEYS, TABLES
+from ..schemas import FOREIGN_KEYS, OWNERS, TABLES
 
-SCHEMA_VERSION = "1"
+SCHEMA_VERSION = "2"
+#: Snapshots whose layers are kept, and layers from which a refresh builds one layer anew.
+KEPT_SNAPSHOTS, MOST_LAYERS = 3, 8
 
 
 class SchemaMismatch(RuntimeError):
@@ -98,45 +103,83 @@ class SnapshotStore:
             raise SchemaMismatch(f"snapshot has schema {found.get('schema_version')}, not {SCHEMA_VERSION}")
         return found
 
+    def _layer(self, version: str, names: list[str]) -> dict[str, DataFrame]:
+        return {name: self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{version}/{name}") for name in names}
+
+    def _merged(self, layers: list[dict]) -> dict[str, DataFrame]:
+        """The tables of layers, the oldest first; a layer's touched files hide those below it."""
+        out: dict[str, DataFrame] = {}
+        hidden = None
+        for layer in reversed(layers):
+            for name, df in self._layer(layer["version"], layer["tables"]).items():
+                if hidden is not None and name in OWNERS:
+                    df = df.join(hidden, owner_path(name) == F.col("_touched"), "left_anti")
+                out[name] = df if name not in out else out[name].unionByName(df)
+            if layer.get("touched"):
+                paths = self.spark.read.schema("path string").parquet(f"{self.root}/{layer['version']}/_touched")
+                paths = paths.select(F.col("path").alias("_touched"))
+                hidden = paths if hidden is None else hidden.unionByName(paths).distinct()
+        return out
+
     def read(self) -> dict[str, DataFrame]:
         found = self.manifest()
         if found is None:
             raise FileNotFoundError(f"no snapshot under {self.root}")
-        at = f"{self.root}/{found['version']}"
-        return {name: self.spark.read.schema(TABLES[name]).parquet(f"{at}/{name}") for name in found["tables"]}
+        return self._merged(found["layers"])
+
+    def publish(
+        self, tables: dict[str, DataFrame], still_owner: Callable[[], bool] = lambda: True, touched: DataFrame | None = None, **metadata
+    ) -> dict:
+        """Writes beside the current snapshot, validates, checks the lease, then moves the pointer.
 
-    def publish(self, tables: dict[str, DataFrame], still_owner: Callable[[], bool] = lambda: True, **metadata) -> dict:
-        """Writes beside the current snapshot, validates, checks the lease, then moves the pointer."""
+        With `touched` (path) the tables are a layer on the current one, with those files' rows only;
+        without it they are the whole snapshot."""
         before = self.manifest()
         version = f"v-{uuid.uuid4().hex}"
         at = f"{self.root}/{version}"
         for name, df in tables.items():
             df.write.parquet(f"{at}/{name}")
-        written = {name: self.spark.read.schema(TABLES[name]).parquet(f"{at}/{name}") for name in tables}
-        report = foreign_key_report(written)
+        layer = {"version": version, "tables": sorted(tables), "touched": touched is not None}
+        if touched is not None:
+            touched.select("path").distinct().write.parquet(f"{at}/_touched")
+        layers = [*(before["layers"] if touched is not None else ()), layer]
+        report = foreign_key_report(self._merged(layers))
         bad = report.where("violations > 0").collect() if report is not None else []
         if bad or not still_owner():
             self._fs.delete(self._path(at), True)
             raise RuntimeError(f"not published: {bad or 'the lease was lost'}")
+        kept = [[x["version"] for x in layers], *(before or {}).get("kept", [])]
         found = {
-            "schema_version": SCHEMA_VERSION, "version": version, "tables": sorted(tables),
+            "schema_version": SCHEMA_VERSION, "version": version, "layers": layers, "kept": kept[:KEPT_SNAPSHOTS],
             "index_revision": (before or {}).get("index_revision", 0) + 1, **metadata,
         }
-        fresh = self._path(f"{self.root}/CURRENT.{version}")
+        self.replace_file(f"{self.root}/CURRENT", json.dumps(found, sort_keys=True))
+        held = {v for versions in found["kept"] for v in versions}
+        for gone in {v for versions in kept[KEPT_SNAPSHOTS:] for v in versions} - held:
+            self._fs.delete(self._path(f"{self.root}/{gone}"), True)
+        return found
+
+    def replace_file(self, path: str, text: str) -> None:
+        """Writes a file beside its place and moves it there, so readers see the old or the new one."""
+        fresh = self._path(f"{path}.{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps(found, sort_keys=True), "utf-8"))
+        out.write(bytearray(text, "utf-8"))
         out.close()
-        current = self._path(f"{self.root}/CURRENT")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            self._fs.getUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = overwrite
-        context.rename(fresh, current, options)
-        if before:
-            self._fs.delete(self._path(f"{self.root}/{before['version']}"), True)
-        return found
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        context = jvm.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark._sc._gateway.new_array(jvm.Options.Rename, 1)
+        options[0] = jvm.Options.Rename.OVERWRITE
+        context.rename(fresh, self._path(path), options)
+
+
+def owner_path(table: str) -> Column:
+    """The file that a row of a table belongs to: that whose parsing gave it."""
+    column = OWNERS[table]
+    if table == "edges":
+        # Decorations and tests are references in the file of the edge's target.
+        column = F.when(F.col("relation").isin("decorates", "tested_by"), F.col("target")).otherwise(F.col("source"))
+        return F.split(column, "::")[1]
+    return F.col(column) if column == "path" else F.split(F.col(column), "::")[1]
 
 
 def occurrence_ordinals(rows: DataFrame, location: list[str], order: str) -> DataFrame:

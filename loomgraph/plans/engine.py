@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import time
 from collections.abc import Callable
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, indexing, lexical, maintenance, parsing, resolution, retrieval
-from ..operators.store import SnapshotStore
+from ..operators.scratch import materialise
+from ..operators.store import MOST_LAYERS, SnapshotStore, owner_path
 from ..sources import repository
 
 #: Budgets of a request.
@@ -36,39 +38,75 @@ class Engine:
         began = time.time()
         files = repository.source_files(self.spark, repo, exclude, include_roots).select("path", "content")
         cache = self.store.read().get("parsed_files") if self.store.manifest() else None
-        parsed = parsing.parse_files(files) if cache is None else parsing.parse_changed(files, cache)
-        return self._publish(parsed, repo, began, still_owner)
-
-    def _publish(self, parsed: DataFrame, repo: str, began: float, still_owner: Callable[[], bool]) -> dict:
-        parsed = parsed.persist()
-        try:
-            branch, commit = repository.git_head(repo)
-            counts = parsed.agg(F.count(F.lit(1)).alias("f"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("s")).first()
-            tables = indexing.build_tables(parsed) | {"parsed_files": parsed}
-            found = self.store.publish(
-                tables, still_owner, file_count=counts["f"], symbol_count=counts["s"], root_dir=repo,
-                built_branch=branch, built_commit=commit, updated_at=began,
-            )
-        finally:
-            parsed.unpersist()
-        return {"files": counts["f"], "symbols": counts["s"], "revision": found["index_revision"], "seconds": time.time() - began}
+        parsed = materialise(parsing.parse_files(files) if cache is None else parsing.parse_changed(files, cache), "parsed")
+        return self._publish(indexing.build_tables(parsed) | {"parsed_files": parsed}, repo, began, still_owner)
+
+    def _publish(self, tables: dict[str, DataFrame], repo: str, began: float, still_owner: Callable[[], bool], touched: DataFrame | None = None) -> dict:
+        branch, commit = repository.git_head(repo)
+        found = self.store.publish(
+            tables, still_owner, touched, root_dir=os.path.realpath(repo), built_branch=branch, built_commit=commit, updated_at=began,
+        )
+        now = self.store.read()
+        return {
+            "files": now["files"].count(), "symbols": now["symbols"].count(), "revision": found["index_revision"],
+            "seconds": time.time() - began,
+        }
 
     def changes(self, repo: str) -> DataFrame:
         """(path, change) between the snapshot and the repository as it is."""
-        files = repository.source_files(self.spark, repo).where(F.is_valid_utf8(F.col("content").cast("string")))
-        now = files.select("path", F.sha2("content", 256).alias("sha256"))
+        return self._changes(repository.source_files(self.spark, repo))
+
+    def _changes(self, files: DataFrame) -> DataFrame:
+        now = files.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.sha2("content", 256).alias("sha256"))
         return maintenance.detect_changes(self.store.read()["files"], now).where("change <> 'unchanged'")
 
     def refresh(self, repo: str, still_owner: Callable[[], bool] = lambda: True) -> dict:
         """Brings the snapshot up to date; without changes the revision stays.
 
-        Changed files alone are parsed. Names are resolved anew over all files, since what a changed
-        file defines may complete references anywhere."""
-        changed = self.changes(repo).groupBy("change").count().collect()
-        if not changed:
-            return {"changed": 0, "revision": self.store.manifest()["index_revision"]}
-        done = self.index(repo, still_owner=still_owner)
-        return done | {"changed": sum(r["count"] for r in changed)}
+        Changed files alone are parsed, and the rows of those files alone are built that changed or
+        that may resolve otherwise now; they become a layer on the snapshot."""
+        began = time.time()
+        manifest = self.store.manifest()
+        files = repository.source_files(self.spark, repo).select("path", "content")
+        changes = materialise(self._changes(files), "changes")
+        n = changes.count()
+        if not n:
+            return {"changed": 0, "rebuilt": 0, "revision": manifest["index_revision"]}
+        if len(manifest["layers"]) >= MOST_LAYERS:
+            done = self.index(repo, still_owner=still_owner)
+            return done | {"changed": n, "rebuilt": done["files"]}
+        tables = self.store.read()
+        fresh = materialise(parsing.parse_files(files.join(changes.where("change <> 'deleted'"), "path", "left_semi")), "parsed")
+        touched = materialise(self._affected(tables, changes, fresh), "touched")
+        untouched = lambda name, by: tables[name].join(by.select(F.col("path").alias("_p")), owner_path(name) == F.col("_p"), "left_anti")
+        same = untouched("parsed_files", changes).join(touched, "path", "left_semi")
+        parsed = materialise(fresh.unionByName(same.select(*fresh.columns)), "parsed")
+        base = {name: untouched(name, touched) for name in ("files", "symbols", "module_lookup", "symbol_lookup")}
+        layer = indexing.build_tables(parsed, base) | {"parsed_files": parsed}
+        done = self._publish(layer, repo, began, still_owner, touched)
+        return done | {"changed": n, "rebuilt": parsed.count()}
+
+    def _affected(self, tables: dict[str, DataFrame], changes: DataFrame, fresh: DataFrame) -> DataFrame:
+        """Paths whose rows have to be built anew: what changed, what depends on it by an edge, what
+        mentions a name that it defined or defines, what imports a module that came or went."""
+        gone = changes.select(F.col("path").alias("_p"))
+        of_changed = lambda name: tables[name].join(gone, owner_path(name) == F.col("_p"), "left_semi")
+        nodes = of_changed("symbols").select("id").unionByName(of_changed("files").select("id"))
+        depending, _ = graph.dependents(tables["edges"], self._entities(tables), nodes, changes, limit=None)
+        defined = fresh.select(F.explode("symbols").alias("s")).select(F.explode(F.array("s.name", T.short_name(F.col("s.name")))).alias("name"))
+        names = of_changed("symbol_lookup").select(F.col("lookup_name").alias("name")).unionByName(defined).distinct()
+        mentioning = tables["edge_occurrences"].join(names, "name", "left_semi").select(owner_path("edge_occurrences").alias("path"))
+        bound = tables["import_bindings"].join(names, F.col("imported_name") == F.col("name"), "left_semi").select(owner_path("import_bindings").alias("path"))
+        modules = of_changed("module_lookup").select("module_name").unionByName(indexing._modules(fresh).select("module_name"))
+        modules = modules.select(F.explode(F.array("module_name", F.regexp_replace("module_name", r"\.index$", ""))).alias("wanted")).distinct()
+        of_file = tables["files"].select(F.col("id").alias("file_id"), "language").join(tables["module_lookup"], "file_id")
+        importing = tables["imports"].withColumnRenamed("import_name", "name").join(of_file, "file_id")
+        importing = importing.withColumn("wanted", indexing.wanted_module(F.col("language"))).join(modules, "wanted", "left_semi")
+        importing = importing.select(owner_path("imports").alias("path"))
+        every = changes.select("path")
+        for more in (depending, mentioning, bound, importing):
+            every = every.unionByName(more.select("path"))
+        return every.distinct()
 
     def _entities(self, tables: dict[str, DataFrame]) -> DataFrame:
         return indexing.entities(tables["files"], tables["symbols"])
@@ -115,7 +153,8 @@ class Engine:
         everything = self._entities(tables)
         symbols = everything.where("kind <> 'file'")
         tokens = [t for t in retrieval._tokens(task) if len(t) > 1]
-        hits = lexical.top_documents(lexical.bm25(tables["lexical_documents"], tokens), limit).collect()
+        corpus = lexical.totals(tables["lexical_lengths"])
+        hits = lexical.top_documents(lexical.ranked(tables["postings"], corpus, tokens), limit).collect()
         fts = self.spark.createDataFrame([(r["node_id"], k) for k, r in enumerate(hits)], "id string, fts_position int")
         names = sorted({x.lower() for x in re.findall(T.IDENTIFIER, task) if len(x) > 2})
         exact = symbols.where(F.lower("name").isin(names)).orderBy("id").limit(limit) if names else symbols.limit(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import concurrent.futures
 import json
+import os
 import threading
 import time
 import uuid
@@ -23,50 +24,65 @@ class Freshness:
 
 
 class StoredLease:
-    """A lease as a file beside the snapshots: creating it without overwriting is atomic."""
+    """A lease as a file beside the snapshots, named by its term: a term's file is created without
+    overwriting, which is atomic, so each term has one owner. A term is over once it has expired or
+    was released; the next owner begins the next term and never deletes another's file."""
 
     def __init__(self, store, seconds: float = LEASE_SECONDS):
         self.store, self.seconds = store, seconds
-        self.path = store._path(f"{store.root}/LEASE")
+        self.folder = f"{store.root}/LEASE"
 
-    def _held(self) -> dict | None:
-        if not self.store._fs.exists(self.path):
+    def _term_path(self, term: int) -> str:
+        return f"{self.folder}/{term:012d}"
+
+    def _latest(self) -> int:
+        if not self.store._fs.exists(self.store._path(self.folder)):
+            return 0
+        names = [f.getPath().getName() for f in self.store._fs.listStatus(self.store._path(self.folder))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _held(self, term: int) -> dict | None:
+        path = self.store._path(self._term_path(term))
+        if not term or not self.store._fs.exists(path):
             return None
-        rows = self.store.spark.read.text(self.path.toString()).collect()
+        rows = self.store.spark.read.text(path.toString()).collect()
         try:
             return json.loads("".join(r["value"] for r in rows))
-        except ValueError:
-            return None
+        except ValueError:  # being written: somebody has just begun this term
+            return {"owner": None, "expires_at": time.time() + self.seconds}
 
-    def _write(self, owner: str, overwrite: bool) -> None:
-        out = self.store._fs.create(self.path, overwrite)
-        out.write(bytearray(json.dumps({"owner": owner, "expires_at": time.time() + self.seconds}), "utf-8"))
-        out.close()
+    def _text(self, owner: str, seconds: float) -> str:
+        return json.dumps({"owner": owner, "expires_at": time.time() + seconds})
 
     def acquire(self, owner: str) -> bool:
-        held = self._held()
-        if held and held["expires_at"] <= time.time():
-            self.store._fs.delete(self.path, False)
-            held = None
-        if held:
+        term = self._latest()
+        held = self._held(term)
+        if held and held["expires_at"] > time.time():
             return held["owner"] == owner
         try:
-            self._write(owner, False)
-        except Exception:  # another process was first
+            out = self.store._fs.create(self.store._path(self._term_path(term + 1)), False)
+        except Exception:  # another process began the term first
             return False
+        out.write(bytearray(self._text(owner, self.seconds), "utf-8"))
+        out.close()
+        for old in range(max(1, term - 8), term):
+            self.store._fs.delete(self.store._path(self._term_path(old)), False)
         return True
 
     def renew(self, owner: str) -> bool:
-        held = self._held()
-        if not held or held["owner"] != owner:
+        """Only while it is held: what has expired may be another's by now."""
+        term = self._latest()
+        held = self._held(term)
+        if not held or held["owner"] != owner or held["expires_at"] <= time.time():
             return False
-        self._write(owner, True)
-        return True
+        self.store.replace_file(self._term_path(term), self._text(owner, self.seconds))
+        return self._latest() == term
 
     def release(self, owner: str) -> None:
-        held = self._held()
+        term = self._latest()
+        held = self._held(term)
         if held and held["owner"] == owner:
-            self.store._fs.delete(self.path, False)
+            self.store.replace_file(self._term_path(term), self._text(owner, -1.0))
 
 
 class Coordinator:
@@ -86,7 +102,7 @@ class Coordinator:
             if n > AUTO_INDEX_FILES:
                 return Freshness("index_required", warnings=[f"{n} files; index explicitly"])
             return self._guarded(lambda: self.engine.index(repo, still_owner=self._owner_check()), None, repo)
-        if manifest.get("root_dir") != repo:
+        if manifest.get("root_dir") != os.path.realpath(repo):
             return Freshness("index_required", manifest["index_revision"], ["the index is of another repository"])
         if self.engine.changes(repo).isEmpty():
             return Freshness("current", manifest["index_revision"])

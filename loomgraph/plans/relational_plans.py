@@ -72,10 +72,9 @@ def delete_cascade_set_null(spark, sf_dir):
 @query("fk_integrity_report", """SELECT 'orders' AS "table", 'o_custkey' AS "column", 'customer' AS "references", count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'lineitem', 'l_orderkey', 'orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'lineitem', 'l_partkey', 'part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
-UNION ALL SELECT 'labels', 'doc_id', 'documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)""")
+UNION ALL SELECT 'labels', 'doc_id', 'documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def fk_integrity_report(spark, sf_dir):
-    tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "part", "labels")}
-    tables["documents"] = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "part", "labels", "documents")}
     keys = (
         ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
         ("lineitem", "l_partkey", "part", "p_partkey"), ("labels", "doc_id", "documents", "doc_id"),
@@ -93,7 +92,7 @@ def module_lookup_greatest_path(spark, sf_dir):
 
 _LOOKUP = """lookup AS (SELECT p_name AS name, p_brand AS file_id, 'part::' || p_partkey AS symbol_id FROM part),
 refs AS (SELECT DISTINCT 'Brand#' || (1 + l_suppkey % 5) || (1 + l_orderkey % 5) AS file_id, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey),
-bind AS (SELECT 'Brand#' || (1 + s_suppkey % 5) || (1 + p_partkey % 5) AS file_id, p_name AS name, 'part::' || p_partkey AS symbol_id FROM supplier, part WHERE p_partkey % 200 = s_suppkey % 200)"""
+bind AS (SELECT 'Brand#' || (1 + l_suppkey % 5) || (1 + l_partkey % 5) AS file_id, p_name AS name, 'part::' || p_partkey AS symbol_id FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 @query("resolve_targets_cascade", f"""WITH {_LOOKUP}, s AS (
@@ -107,14 +106,14 @@ SELECT file_id, name, CASE WHEN len(a) = 1 THEN a[1] WHEN coalesce(len(a), 0) =
   CASE WHEN len(a) > 0 THEN 'same_file' WHEN len(b) > 0 THEN 'explicit_import' ELSE 'unbound_name' END AS strategy,
   array_to_string(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END, ',') AS candidates FROM s""")
 def resolve_targets_cascade(spark, sf_dir):
-    parts, items, suppliers = (table(spark, sf_dir, n) for n in ("part", "lineitem", "supplier"))
+    parts, items = (table(spark, sf_dir, n) for n in ("part", "lineitem"))
     brand = lambda a, b: F.concat(F.lit("Brand#"), (1 + F.col(a) % 5).cast("string"), (1 + F.col(b) % 5).cast("string"))
     lookup = parts.select(F.col("p_name").alias("name"), F.col("p_brand").alias("file_id"), node("part", "p_partkey").alias("symbol_id"))
     names = parts.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     refs = items.join(names, "l_partkey").select(brand("l_suppkey", "l_orderkey").alias("file_id"), "name")
-    bind = parts.withColumn("m", F.col("p_partkey") % 200).join(suppliers.withColumn("m", F.col("s_suppkey") % 200), "m").select(
-        brand("s_suppkey", "p_partkey").alias("file_id"), F.col("p_name").alias("name"), node("part", "p_partkey").alias("symbol_id")
-    )
+    bind = items.join(names, "l_partkey").select(
+        brand("l_suppkey", "l_partkey").alias("file_id"), "name", node("part", "l_partkey").alias("symbol_id")
+    )
     return resolution.resolve_references(refs, lookup, bind).withColumn("candidates", F.array_join("candidates", ","))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexical, retrieval
+from ..operators.scratch import materialise
 from ..sources.driver_tables import G_EDGES, g_edges, g_entities, node, table
 from .registry import query
 from .text_plans import _INTENT, _MODE, _TASKS, _tasks
@@ -37,6 +38,15 @@ def bm25_topk(spark, sf_dir):
     return lexical.top_documents(lexical.bm25(docs, _TERMS, {"body": 1.0}), 25)
 
 
+@query("bm25_stored_index", _bm25_sql({"body": 1.0}, _TERMS, _BODY, 25))
+def bm25_stored_index(spark, sf_dir):
+    """The same from postings that are written by term, as a snapshot keeps them."""
+    docs = table(spark, sf_dir, "documents").select(node("doc", "doc_id").alias("node_id"), F.col("text").alias("body"))
+    stored = materialise(lexical.stored_postings(docs, {"body": 1.0}), "postings")
+    dl = materialise(lexical.lengths(docs, ["body"]), "lengths")
+    return lexical.top_documents(lexical.ranked(stored, lexical.totals(dl), _TERMS), 25)
+
+
 _WIDE = """SELECT 'part::' || p_partkey AS node_id, p_name AS name, p_brand AS path, p_type AS signature, '' AS docstring,
   p_type || ' ' || p_name AS summary, p_name || ' ' || p_size AS source FROM part"""
 
@@ -188,11 +198,11 @@ def one_hop_roles(spark, sf_dir):
 
 
 @query("inferred_unique_candidates", """WITH o AS (SELECT 'supplier::' || s_suppkey AS source, list_sort(list(DISTINCT 'part::' || p_partkey)) AS c
-  FROM supplier JOIN part ON p_partkey % 500 = s_suppkey % 500 AND p_size > 30 GROUP BY s_suppkey)
+  FROM supplier JOIN part ON p_partkey = s_suppkey * 7 AND p_size > 30 GROUP BY s_suppkey)
 SELECT source, c[1] AS target, 'calls' AS relation, 0.65::DOUBLE AS confidence FROM o WHERE len(c) = 1 ORDER BY 1, 2, 3 LIMIT 48""")
 def inferred_unique_candidates(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_size > 30").withColumn("m", F.col("p_partkey") % 500)
-    suppliers = table(spark, sf_dir, "supplier").withColumn("m", F.col("s_suppkey") % 500)
+    parts = table(spark, sf_dir, "part").where("p_size > 30").withColumn("m", F.col("p_partkey"))
+    suppliers = table(spark, sf_dir, "supplier").withColumn("m", F.col("s_suppkey") * 7)
     occurrences = parts.join(suppliers, "m").groupBy(node("supplier", "s_suppkey").alias("source")).agg(
         F.array_sort(F.collect_set(node("part", "p_partkey"))).alias("candidates")
     ).select("source", F.lit(None).cast("string").alias("target"), F.lit("calls").alias("relation"), "candidates")
@@ -222,10 +232,11 @@ def role_selection(spark, sf_dir):
 
 
 @query("budget_packing_greedy", """WITH RECURSIVE o AS (SELECT source, doc_id, greatest(1, CAST(ceil(length(text) / 3.0) AS BIGINT)) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-f(source, k, used, kept) AS (
-  SELECT source, 0::BIGINT, 0::BIGINT, ''::VARCHAR FROM (SELECT DISTINCT source FROM o)
-  UNION ALL SELECT f.source, o.k, CASE WHEN f.used + o.size <= 2000 THEN f.used + o.size ELSE f.used END, CASE WHEN f.used + o.size <= 2000 THEN f.kept || ',' || o.doc_id ELSE f.kept END
-  FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1 WHERE o.k <= 16)
+f(source, k, used, kept, n) AS (
+  SELECT source, 0::BIGINT, 0::BIGINT, ''::VARCHAR, 0 FROM (SELECT DISTINCT source FROM o)
+  UNION ALL SELECT f.source, o.k, CASE WHEN f.used + o.size <= 2000 AND n < 16 THEN f.used + o.size ELSE f.used END,
+    CASE WHEN f.used + o.size <= 2000 AND n < 16 THEN f.kept || ',' || o.doc_id ELSE f.kept END, CASE WHEN f.used + o.size <= 2000 AND n < 16 THEN n + 1 ELSE n END
+  FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1)
 SELECT source, ltrim(arg_max(kept, k), ',') AS kept, CAST(arg_max(used, k) AS BIGINT) AS used FROM f GROUP BY source""")
 def budget_packing_greedy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", T.token_estimate(F.col("text")).alias("size"))

@@ -162,7 +162,7 @@ def include_root_filter(spark, sf_dir):
     return _paths(spark, sf_dir).where(T.under_root(F.col("path"), "src/vendor", "tests"))
 
 
-_TASKS = f"""tasks AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Fix the failing ' WHEN 1 THEN 'Rename ' WHEN 2 THEN 'Review ' WHEN 3 THEN 'Show callers and dependencies of ' ELSE '' END || left(coalesce(text, ''), 60) AS task FROM conversations),
+_TASKS = f"""tasks AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Fix the failing ' WHEN 1 THEN 'Rename ' WHEN 2 THEN 'Review ' WHEN 3 THEN 'Show callers and dependencies of ' ELSE '' END || coalesce(text, '') AS task FROM conversations),
 tok AS (SELECT conv_id, turn, {tokens_sql('task')} AS t FROM tasks)"""
 
 
@@ -170,7 +170,7 @@ def _tasks(spark, sf_dir):
     five = F.col("conv_id") % 5
     start = F.when(five == 0, "Fix the failing ").when(five == 1, "Rename ").when(five == 2, "Review ").when(five == 3, "Show callers and dependencies of ").otherwise("")
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", T.identifier_tokens(F.concat(start, F.left(F.coalesce("text", F.lit("")), F.lit(60)))).alias("t"))
+    return rows.select("conv_id", "turn", T.identifier_tokens(F.concat(start, F.coalesce("text", F.lit("")))).alias("t"))
 
 
 _INTENT = f"CASE WHEN {in_list('t', T.DEBUG_WORDS)} THEN 'debug' WHEN {in_list('t', T.EDIT_WORDS)} THEN 'edit' WHEN list_has_any(t, ['review', 'merge']) THEN 'review' ELSE 'understand' END"

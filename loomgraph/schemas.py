@@ -45,11 +45,22 @@ PARSED_FILES = (
     f"symbols array<{_SYMBOL}>, imports array<{_IMPORT}>, literals array<{_LITERAL}>"
 )
 
+#: Index terms by document, in order of term, and the documents' lengths.
+POSTINGS = "node_id string, dl double, term string, tf double"
+LEXICAL_LENGTHS = "node_id string, dl double"
+
 TABLES = {
     "files": FILES, "symbols": SYMBOLS, "module_lookup": MODULE_LOOKUP, "symbol_lookup": SYMBOL_LOOKUP,
     "edges": EDGES, "imports": IMPORTS, "import_bindings": IMPORT_BINDINGS,
     "edge_occurrences": EDGE_OCCURRENCES, "summaries": SUMMARIES, "lexical_documents": LEXICAL_DOCUMENTS,
-    "metadata": METADATA, "parsed_files": PARSED_FILES,
+    "metadata": METADATA, "parsed_files": PARSED_FILES, "postings": POSTINGS, "lexical_lengths": LEXICAL_LENGTHS,
+}
+
+#: The column by which a row belongs to a file: an id that has the path, or the path itself.
+OWNERS = {
+    "files": "id", "symbols": "id", "module_lookup": "file_id", "symbol_lookup": "symbol_id", "edges": "source",
+    "imports": "file_id", "import_bindings": "file_id", "edge_occurrences": "source_file_id", "summaries": "node_id",
+    "lexical_documents": "node_id", "parsed_files": "path", "postings": "node_id", "lexical_lengths": "node_id",
 }
 
 #: Primary keys, for upserts and integrity checks.
