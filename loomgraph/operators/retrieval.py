@@ -237,9 +237,14 @@ def caps_columns(tokens: Column, intent: Column, mode: Column, budget: Column, b
     }
 
 
+def tokens_needed(response: dict) -> int:
+    """Estimated tokens of a response, written out."""
+    return max(1, -(-len(json.dumps(response, indent=2, ensure_ascii=False)) // 3))
+
+
 def fits(response: dict, budget: int) -> bool:
     """Whether a response, written out, stays within its budget of estimated tokens."""
-    return max(1, -(-len(json.dumps(response, indent=2, ensure_ascii=False)) // 3)) <= budget
+    return tokens_needed(response) <= budget
 
 
 def shrink(response: dict, budget: int) -> dict:
@@ -251,10 +256,10 @@ def shrink(response: dict, budget: int) -> dict:
             out.pop(part, None)
     while not fits(out, budget) and out.get("slices"):
         out["slices"] = out["slices"][:-1]
-    for part in ("next", "missing"):
+    for part in ("next", "missing", "candidates"):
         if not fits(out, budget):
             out.pop(part, None)
-    return out
+    return out if fits(out, budget) else {"status": out.get("status", "insufficient")}
 
 
 #: Words by which a task asks for a role, and the plurals that ask for all of it.
@@ -288,6 +293,11 @@ def overview_intent(task: Column) -> Column:
     return out
 
 
+def mentions_role(tokens: list[str]) -> bool:
+    """Whether a task asks for what surrounds its target."""
+    return any(set(terms) & set(tokens) for terms in ROLE_TERMS.values())
+
+
 def requested_roles(tokens: list[str], intent: str) -> list[str]:
     """Roles in the order in which a task mentions them; without any, all three, except to debug."""
     first = {role: min((k for k, t in enumerate(tokens) if t in terms), default=None) for role, terms in ROLE_TERMS.items()}

@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -147,8 +148,20 @@ class Engine:
         tables = self.store.read()
         return graph.shortest_path(tables["edges"], self._resolve(tables, source), self._resolve(tables, target), relations)
 
+    def _scope(self, tables: dict[str, DataFrame], task: str) -> DataFrame:
+        """(file_id, scope): files that a task names (0) and files that those import (1)."""
+        low = F.lit(task.lower())
+        own = tables["files"].where(F.contains(low, F.lower("path"))).select("id").orderBy("id").limit(16)
+        ids = [r["id"] for r in own.collect()]
+        rows = [(i, 0) for i in ids]
+        if ids:
+            imported = tables["imports"].where(F.col("file_id").isin(ids) & F.col("resolved_file_id").isNotNull())
+            more = imported.select("resolved_file_id").distinct().orderBy("resolved_file_id").limit(retrieval.MAX_CANDIDATES).collect()
+            rows += [(r["resolved_file_id"], 1) for r in more if r["resolved_file_id"] not in ids]
+        return self.spark.createDataFrame(rows, "file_id string, scope int")
+
     def candidates(self, task: str, target: str | None = None, limit: int = retrieval.MAX_CANDIDATES) -> DataFrame:
-        """Scored candidates of a task in rank order."""
+        """Scored candidates of a task in rank order, the same content at the same place once."""
         tables = self.store.read()
         everything = self._entities(tables)
         symbols = everything.where("kind <> 'file'")
@@ -168,12 +181,13 @@ class Engine:
         evidence = fts.join(targets, "id", "full").join(exact.select("id", F.lit(True).alias("exact_name")), "id", "full")
         near = graph.connected_candidates(tables["edges"], [r["id"] for r in anchors.collect()], evidence).select("id", F.lit(True).alias("graph_near"))
         rows = (
-            symbols.join(evidence, "id").join(near, "id", "left")
+            symbols.join(evidence, "id").join(near, "id", "left").join(F.broadcast(self._scope(tables, task)), "file_id", "left")  # 272 rows at most
             .withColumn("exact_name", F.coalesce("exact_name", F.lit(False))).withColumn("graph_near", F.coalesce("graph_near", F.lit(False)))
-            .withColumn("scope", F.when(F.contains(F.lit(task.lower()), F.lower("path")), 0))
         )
+        # Some hundred rows at most from here on, so one ordered partition is bounded.
         scored = retrieval.score_candidates(rows, task, target, len(hits))
-        return scored.orderBy(*retrieval.rank_order()).limit(limit)
+        placed = scored.withColumn("rank", F.row_number().over(W.orderBy(*retrieval.rank_order())))
+        return retrieval.deduplicated(placed).orderBy("rank").limit(limit)
 
     def _reexported(self, tables: dict[str, DataFrame], target: str) -> DataFrame:
         """Symbols that a name stands for through imports, re-exports included."""
@@ -199,44 +213,82 @@ class Engine:
             F.lit(target).alias("source"), F.get("ids", F.lit(0)).alias("target"), "relation", F.lit(0.55).alias("confidence")
         ).where("source <> target")
 
-    def context(self, task: str, target: str | None = None, token_budget: int = 800) -> dict:
-        """The target of a task and what surrounds it, within a budget of tokens."""
+    def _plan(self, task: str, budget: int, exact: bool) -> dict:
+        """Intent, mode and limits of a request, by the column functions that serve whole tables."""
+        manifest = self.store.read()
+        files, symbols = manifest["files"].count(), manifest["symbols"].count()
+        tokens = F.col("t")
+        asked = self.spark.range(1).select(T.identifier_tokens(F.lit(task)).alias("t"))
+        asked = asked.select("t", T.infer_intent(tokens).alias("intent"))
+        asked = asked.select("t", "intent", T.plan_mode(tokens, F.col("intent")).alias("mode"))
+        caps = retrieval.caps_columns(
+            tokens, F.col("intent"), F.col("mode"), F.lit(budget), F.lit(retrieval.band(files, symbols)), F.lit(exact)
+        )
+        return asked.select("intent", "mode", *[c.alias(k) for k, c in caps.items()]).first().asDict()
+
+    def _sureness(self, ranked: list, exact: bool) -> tuple[float, float]:
+        scores = [float(r["score"]) for r in ranked[:2]] + [0.0]
+        one, two = retrieval.confidence_and_margin(F.lit(scores[0]), F.lit(scores[1]), F.lit(exact))
+        return tuple(self.spark.range(1).select(one.alias("a"), two.alias("b")).first())
+
+    def _source(self, row, tables: dict[str, DataFrame]) -> str:
+        """A symbol's lines: from the repository, else as they were parsed."""
+        root = (self.store.manifest() or {}).get("root_dir")
+        text = repository.read_lines(root, row["path"], row["start_line"], row["end_line"]) if root else None
+        if text is not None:
+            return text
+        held = tables["parsed_files"].where(F.col("path") == row["path"]).select(F.explode("symbols").alias("s"))
+        found = held.where((F.col("s.name") == row["name"]) & (F.col("s.start_line") == row["start_line"])).select("s.source").first()
+        return found["source"] if found else ""
+
+    def context(self, task: str, target: str | None = None, token_budget: int = 800, source: str = "auto") -> dict:
+        """The target of a task and what surrounds it, within a budget of tokens. source says whose
+        code goes along: the target's (auto), everybody's (always) or nobody's (never)."""
+        if not task or not task.strip():
+            raise ValueError("a task is needed")
         if not LEAST_BUDGET <= token_budget <= MOST_BUDGET:
             raise ValueError(f"token_budget must be from {LEAST_BUDGET} to {MOST_BUDGET}")
+        if source not in ("auto", "always", "never"):
+            raise ValueError("source must be auto, always or never")
         tables = self.store.read()
         tokens = retrieval._tokens(task)
-        has = lambda words: bool(set(tokens) & set(words))
-        intent = "debug" if has(T.DEBUG_WORDS) else "edit" if has(T.EDIT_WORDS) else "review" if has(("review", "merge")) else "understand"
         ranked = self.candidates(task, target).collect()
         if not ranked:
             return {"status": "insufficient", "slices": [], "missing": [{"kind": "target"}]}
-        top, second = ranked[0], ranked[1]["score"] if len(ranked) > 1 else 0.0
+        top = ranked[0]
         exact = top["precedence"] == 0 or (top["precedence"] == 2 and sum(bool(r["exact_name"]) for r in ranked) == 1)
-        first = max(0.0, top["score"])
-        confidence = 1.0 if exact else first / max(first + max(0.0, second), 1.0)
-        margin = 1.0 if exact else (first - max(0.0, second)) / max(first, 1.0)
+        plan = self._plan(task, token_budget, exact)
+        intent, ranked = plan["intent"], ranked[: plan["candidate_limit"]]
+        confidence, margin = self._sureness(ranked, exact)
         if confidence < retrieval.CONFIDENCE and margin < retrieval.MARGIN:
             few = [{"id": r["id"], "path": r["path"], "line": r["start_line"]} for r in ranked[:3]]
             return {"status": "ambiguous", "candidates": few, "slices": []}
         roles = {top["id"]: "target"}
-        if intent != "understand":
+        if intent != "understand" or plan["mode"] == "structural" or retrieval.mentions_role(tokens):
             occurrences = tables["edge_occurrences"].where(F.col("source") == top["id"]).withColumnRenamed("candidate_targets", "candidates")
             weak = retrieval.inferred_edges(occurrences, tables["symbols"]).unionByName(self._dispatched(tables, top["id"]))
             edges = tables["edges"].select("source", "target", "relation").unionByName(weak.select("source", "target", "relation")).distinct()
-            for r in retrieval.one_hop(edges, top["id"], intent).orderBy("position").collect():
+            for r in retrieval.one_hop(edges, top["id"], intent, plan["relationship_limit"]).orderBy("position").collect():
                 roles.setdefault(r["id"], r["role"])
         rows = {r["id"]: r for r in self._entities(tables).where(F.col("kind") != "file").where(F.col("id").isin(list(roles))).collect()}
-        docs = {r["node_id"]: r["summary"] for r in tables["summaries"].where(F.col("node_id").isin(list(roles))).collect()}
         order = {"target": 0} | {role: k for k, role in enumerate(_ROLE_ORDER.get(intent, _ROLE_ORDER["review"]), 1)}
         ahead = sorted(((n, r) for n, r in roles.items() if n in rows), key=lambda x: order.get(x[1], 5))
-        chosen = retrieval.select_context(ahead, tokens, intent, retrieval.MAX_SLICES)
+        chosen = retrieval.select_context(ahead, tokens, intent, plan["slice_limit"])
         response = {"status": "ready", "confidence": round(confidence, 4), "intent": intent, "slices": []}
         for node, role in chosen:
             r = rows[node]
-            part = {"id": node, "path": r["path"], "lines": [r["start_line"], r["end_line"]], "symbol": r["name"], "role": role, "code": docs.get(node, "")}
+            wanted = source == "always" or (source == "auto" and role == "target")
+            part = {
+                "id": node, "path": r["path"], "lines": [r["start_line"], r["end_line"]], "symbol": r["name"], "role": role,
+                "code": self._source(r, tables) if wanted else "",
+            }
             response["slices"].append(part)
-            if not retrieval.fits(response, token_budget):
-                response["slices"].pop()
-                if role == "target":
-                    return {"status": "insufficient", "slices": [], "missing": [{"kind": "target_source", "path": r["path"]}]}
+            if retrieval.fits(response, token_budget):
+                continue
+            response["slices"].pop()
+            if role == "target":
+                need = min(MOST_BUDGET, retrieval.tokens_needed(response | {"slices": [part]}))
+                missing = {"kind": "target_source", "path": r["path"], "lines": part["lines"], "required_budget": need}
+                step = {"tool": "context", "arguments": {"task": task, "target": node, "token_budget": need}}
+                return {"status": "insufficient", "slices": [], "missing": [missing], "next": step}
         return retrieval.shrink(response, token_budget)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from pathlib import Path, PurePosixPath
 
@@ -105,7 +106,18 @@ def source_lines(content: str | None, start: int, end: int) -> str | None:
     """Lines start..end (from 1, both included) with their line ends; None without content."""
     if content is None:
         return None
-    return "".join(content.splitlines(keepends=True)[max(0, start - 1) : end])
+    return "".join(re.split(r"(?<=\n)", content)[max(0, start - 1) : end])
+
+
+def read_lines(root: str, path: str, start: int, end: int) -> str | None:
+    """Lines of a file of the repository; None where there is no such file inside it, or no UTF-8."""
+    base, file = Path(root).resolve(), Path(root, path)
+    try:
+        if not file.resolve().is_relative_to(base) or not file.is_file():
+            return None
+        return source_lines(file.read_bytes().decode("utf-8"), start, end)
+    except (OSError, UnicodeDecodeError):
+        return None
 
 
 #: What an explicit include may never bring in, and how large a file may be.

@@ -17,6 +17,7 @@ def repo(tmp_path_factory):
         "src/text.ts": "/** Trims. */\nexport function trim(x: string): string {\n  return x.trim();\n}\n",
         "src/store.ts": "import { trim } from './text';\n\nexport class Store extends Object {\n  put(x: string) {\n    return trim(x);\n  }\n}\n",
         "broken.py": "def x(:\n",
+        "large.py": "def big():\n" + "".join(f"    value_{k} = {k}\n" for k in range(400)),
         "latin.py": None,
     }
     for name, text in files.items():
@@ -32,7 +33,7 @@ def repo(tmp_path_factory):
 def engine(spark, repo, tmp_path_factory):
     e = Engine(spark, str(tmp_path_factory.mktemp("snapshots")))
     done = e.index(str(repo))
-    assert done["files"] == 7 and done["revision"] == 1
+    assert done["files"] == 8 and done["revision"] == 1
     return e
 
 
@@ -67,11 +68,20 @@ def test_graph_and_path(engine):
 
 
 def test_minimal_and_context(engine):
-    assert engine.minimal()["files"] == 7
+    assert engine.minimal()["files"] == 8
     answer = engine.context("Change create_user", "create_user")
     assert answer["status"] == "ready"
     assert answer["slices"][0]["symbol"] == "create_user"
     assert {"clean_name", "test_create"} <= {s["symbol"] for s in answer["slices"]}
+    assert answer["slices"][0]["code"] == "def create_user(name):\n    return clean_name(name)\n"
+    assert not any(s["code"] for s in answer["slices"][1:])
+    always = engine.context("Change create_user", "create_user", source="always")
+    assert {s["symbol"]: s["code"] for s in always["slices"]}["clean_name"] == "def clean_name(value):\n    return value.strip()\n"
+    never = engine.context("Explain create_user", "create_user", source="never")
+    assert never["status"] == "ready" and [s["code"] for s in never["slices"]] == [""]
+    large = engine.context("Change big", "big", token_budget=256)
+    assert large["status"] == "insufficient" and large["slices"] == [] and large["missing"][0]["kind"] == "target_source"
+    assert engine.context("Change big", "big", token_budget=large["missing"][0]["required_budget"])["status"] == "ready"
     with pytest.raises(ValueError):
         engine.context("x", token_budget=1)
 
@@ -86,6 +96,40 @@ def test_refresh(engine, repo):
     assert occurrences and all(o.target is None and o.resolution_status == "unresolved" for o in occurrences)
 
 
+def test_refresh_equals_a_build(spark, tmp_path):
+    """After some edits a refreshed snapshot holds what a build from nothing holds."""
+    repo = tmp_path / "r"
+    files = {
+        "a.py": "def one():\n    return two()\n\n\ndef shared():\n    pass\n", "b.py": "from a import one\n\n\ndef call():\n    one()\n    late()\n",
+        "c.py": "import later\nfrom b import call\n\n\nclass K:\n    def m(self):\n        call()\n", "tests/test_b.py": "from b import call\n\n\ndef test_call():\n    call()\n",
+        "d.py": "def alone():\n    return 1\n",
+    }
+    edits = [
+        {"b.py": "from a import one, two\n\n\ndef call():\n    one()\n    two()\n"},
+        {"a.py": None, "later.py": "def late():\n    pass\n", "e.py": "def shared():\n    alone()\n"},
+    ]
+
+    def write(part):
+        for name, text in part.items():
+            (repo / name).parent.mkdir(parents=True, exist_ok=True)
+            (repo / name).unlink() if text is None else (repo / name).write_text(text)
+
+    write(files)
+    kept = Engine(spark, str(tmp_path / "kept"))
+    kept.index(str(repo))
+    for part in edits:
+        write(part)
+        done = kept.refresh(str(repo))
+        assert done["changed"] == len(part) and done["rebuilt"] <= done["files"]
+    fresh = Engine(spark, str(tmp_path / "fresh"))
+    fresh.index(str(repo))
+    ours, theirs = kept.store.read(), fresh.store.read()
+    for name in theirs:
+        if name != "parsed_files":
+            assert sorted(map(str, ours[name].collect())) == sorted(map(str, theirs[name].collect())), name
+    assert "d.py" not in {r.path for r in spark.read.parquet(f"{kept.store.root}/{kept.store.manifest()['layers'][1]['version']}/_touched").collect()}
+
+
 def test_bounds(spark):
     frame = spark.createDataFrame([("a", "b", "calls", "EXTRACTED")], "source string, target string, relation string, confidence_tier string")
     with pytest.raises(ValueError):
