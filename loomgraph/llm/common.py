@@ -1,10 +1,7 @@
-"""Shared plumbing of the training-data operators: texts as bytes, scratch tables, hash buckets."""
+"""Shared plumbing of the training-data operators: texts as bytes, hashes of words and ids."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import discard, materialise  # noqa: F401
+
 #: bytes.translate table that lower-cases A-Z and leaves everything else alone.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -74,56 +73,5 @@ def crc_bucket(doc_id: Column | str, n: int) -> Column:
     return (F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _sweep() -> None:
-    for spark, path in _scratch:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has already gone; the folder is left to its owner
-            pass
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one is made only where the session names none and
-    everything runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or ""
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
-        base = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts the lineage."""
-    spark = df.sparkSession
-    if not _scratch:
-        atexit.register(_sweep)
-    path = f"{shared_folder(spark).rstrip('/')}/loomgraph-{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    written.scratch = path
-    return written
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of materialise() that nothing refers to any more, all that came of them having
-    been written itself."""
-    for df in tables:
-        _delete(df.sparkSession, df.scratch)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
