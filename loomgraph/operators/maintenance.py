@@ -110,9 +110,11 @@ class IgnoreRule:
     anchored: bool = False
     dir_only: bool = False
     source: str = "ignorefile"
+    #: Where the tree lies below the folder of the rule's file; anchored patterns begin at that folder.
+    under: str = ""
 
 
-def parse_rule(line: str, source: str = "ignorefile") -> IgnoreRule | None:
+def parse_rule(line: str, source: str = "ignorefile", under: str = "") -> IgnoreRule | None:
     """A line of an ignore file; blank lines and comments are none."""
     body = line.strip()
     if not body or body.startswith("#"):
@@ -120,7 +122,32 @@ def parse_rule(line: str, source: str = "ignorefile") -> IgnoreRule | None:
     negated, body = body.startswith("!"), body.removeprefix("!")
     dir_only, body = body.endswith("/"), body.rstrip("/") if body.endswith("/") else body
     anchored, body = "/" in body, body.lstrip("/")
-    return IgnoreRule(body, negated, anchored, dir_only, source) if body else None
+    return IgnoreRule(body, negated, anchored, dir_only, source, under) if body else None
+
+
+def effective_rules(rules: list[IgnoreRule], held: bool) -> list[IgnoreRule]:
+    """Files that version control holds, or that are named explicitly, obey no rules of version control."""
+    return [r for r in rules if r.source != "vcsignore"] if held else rules
+
+
+def ignored_path(path: str, rules: list[IgnoreRule], is_dir: bool = False) -> bool:
+    """is_ignored for one path on the driver, for walks and questions about single files."""
+    parts = path.split("/")
+    for n in range(1, len(parts) + 1):
+        at, folder, verdict = "/".join(parts[:n]), n < len(parts) or is_dir, False
+        for rule in rules:
+            if folder or not rule.dir_only:
+                target = f"{rule.under}/{at}".lstrip("/") if rule.anchored else parts[n - 1]
+                verdict = not rule.negated if fnmatch.fnmatchcase(target, rule.pattern) else verdict
+        if verdict:
+            return True
+    return False
+
+
+def enters(folder: str, rules: list[IgnoreRule]) -> bool:
+    """Whether a walk has to look into a folder: one that is ignored is left out, unless a negated
+    rule could bring back something in it."""
+    return any(r.negated for r in rules) or not ignored_path(folder, rules, is_dir=True)
 
 
 def _pattern(glob: str) -> str:
@@ -137,7 +164,8 @@ def is_ignored(path: Column, rules: list[IgnoreRule]) -> Column:
     def level(target: Column, name: Column, is_dir: Column) -> Column:
         verdict = F.lit(False)
         for rule in rules:
-            hit = (target if rule.anchored else name).rlike(_pattern(rule.pattern))
+            full = F.concat(F.lit(rule.under + "/"), target) if rule.under else target
+            hit = (full if rule.anchored else name).rlike(_pattern(rule.pattern))
             if rule.dir_only:
                 hit = hit & is_dir
             verdict = F.when(hit, F.lit(not rule.negated)).otherwise(verdict)

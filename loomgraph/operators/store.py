@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FOREIGN_KEYS, OWNERS, TABLES
 
-SCHEMA_VERSION = "2"
+SCHEMA_VERSION = "3"
 #: Snapshots whose layers are kept, and layers from which a refresh builds one layer anew.
 KEPT_SNAPSHOTS, MOST_LAYERS = 3, 8
 

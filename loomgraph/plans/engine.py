@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..operators import graph, indexing, lexical, maintenance, parsing, resolution, retrieval
 from ..operators.scratch import materialise
 from ..operators.store import MOST_LAYERS, SnapshotStore, owner_path
-from ..sources import repository
+from ..sources import change_scan, repository
 
 #: Budgets of a request.
 LEAST_BUDGET, MOST_BUDGET = 256, 16_384
@@ -30,6 +30,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, SnapshotStore(spark, root)
+        self._unchanged: dict[str, tuple[int, dict]] = {}
 
     def index(
         self, repo: str, exclude: tuple[str, ...] = (), include_roots: tuple[str, ...] = (), still_owner: Callable[[], bool] = lambda: True
@@ -37,15 +38,31 @@ class Engine:
         """Builds all tables from the whole repository and publishes them. Files that the last
         snapshot has parsed with the same content are not parsed again."""
         began = time.time()
+        scope = {"exclude": list(exclude), "include_roots": list(include_roots), "built_dirty": change_scan.uncommitted(os.path.realpath(repo))}
+        # Times are noted before contents are read, so what is written in between shows as changed.
+        stats = materialise(repository.source_stats(self.spark, repo, exclude, include_roots), "stats")
         files = repository.source_files(self.spark, repo, exclude, include_roots).select("path", "content")
         cache = self.store.read().get("parsed_files") if self.store.manifest() else None
         parsed = materialise(parsing.parse_files(files) if cache is None else parsing.parse_changed(files, cache), "parsed")
-        return self._publish(indexing.build_tables(parsed) | {"parsed_files": parsed}, repo, began, still_owner)
+        return self._publish(indexing.build_tables(parsed) | {"parsed_files": parsed}, repo, began, still_owner, stats, scope)
 
-    def _publish(self, tables: dict[str, DataFrame], repo: str, began: float, still_owner: Callable[[], bool], touched: DataFrame | None = None) -> dict:
-        branch, commit = repository.git_head(repo)
+    def _publish(
+        self, tables: dict[str, DataFrame], repo: str, began: float, still_owner: Callable[[], bool], stats: DataFrame, scope: dict,
+        touched: DataFrame | None = None,
+    ) -> dict:
+        root = os.path.realpath(repo)
+        branch, commit = repository.git_head(root)
+        dirty = change_scan.uncommitted(root)
+        if scope["built_dirty"] is None or dirty is None:
+            scope = scope | {"built_dirty": None}
+        else:
+            scope = scope | {"built_dirty": sorted({*scope["built_dirty"], *dirty})}
+        columns = tables["files"].columns
+        files = tables["files"].drop("mtime").join(stats.select("path", "mtime"), "path", "left")
+        tables = tables | {"files": files.withColumn("mtime", F.coalesce("mtime", F.lit(0.0))).select(*columns)}
         found = self.store.publish(
-            tables, still_owner, touched, root_dir=os.path.realpath(repo), built_branch=branch, built_commit=commit, updated_at=began,
+            tables, still_owner, touched, root_dir=root, built_branch=branch, built_commit=commit, updated_at=began,
+            control=change_scan.control_digest(root), **scope,
         )
         now = self.store.read()
         return {
@@ -55,11 +72,20 @@ class Engine:
 
     def changes(self, repo: str) -> DataFrame:
         """(path, change) between the snapshot and the repository as it is."""
-        return self._changes(repository.source_files(self.spark, repo))
+        manifest = self.store.manifest()
+        return change_scan.changes(self.spark, repo, self.store.read()["files"], manifest)
 
-    def _changes(self, files: DataFrame) -> DataFrame:
-        now = files.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.sha2("content", 256).alias("sha256"))
-        return maintenance.detect_changes(self.store.read()["files"], now).where("change <> 'unchanged'")
+    def is_current(self, repo: str) -> bool:
+        """Whether nothing has changed. A tree without git that bears the same stamp as when it was last
+        found unchanged is not looked at again."""
+        root, manifest = os.path.realpath(repo), self.store.manifest()
+        stamp = change_scan.tree_stamp(root) if manifest.get("built_commit") is None else None
+        if stamp is not None and self._unchanged.get(root) == (manifest["index_revision"], stamp):
+            return True
+        same = self.changes(repo).isEmpty()
+        if same and stamp is not None:
+            self._unchanged[root] = (manifest["index_revision"], stamp)
+        return same
 
     def refresh(self, repo: str, still_owner: Callable[[], bool] = lambda: True) -> dict:
         """Brings the snapshot up to date; without changes the revision stays.
@@ -68,13 +94,16 @@ class Engine:
         that may resolve otherwise now; they become a layer on the snapshot."""
         began = time.time()
         manifest = self.store.manifest()
-        files = repository.source_files(self.spark, repo).select("path", "content")
-        changes = materialise(self._changes(files), "changes")
+        exclude, roots = tuple(manifest.get("exclude") or ()), tuple(manifest.get("include_roots") or ())
+        scope = {"exclude": list(exclude), "include_roots": list(roots), "built_dirty": change_scan.uncommitted(os.path.realpath(repo))}
+        stats = materialise(repository.source_stats(self.spark, repo, exclude, roots), "stats")
+        changes = materialise(self.changes(repo), "changes")
         n = changes.count()
         if not n:
             return {"changed": 0, "rebuilt": 0, "revision": manifest["index_revision"]}
+        files = repository.source_files(self.spark, repo, exclude, roots).select("path", "content")
         if len(manifest["layers"]) >= MOST_LAYERS:
-            done = self.index(repo, still_owner=still_owner)
+            done = self.index(repo, exclude, roots, still_owner)
             return done | {"changed": n, "rebuilt": done["files"]}
         tables = self.store.read()
         fresh = materialise(parsing.parse_files(files.join(changes.where("change <> 'deleted'"), "path", "left_semi")), "parsed")
@@ -84,7 +113,7 @@ class Engine:
         parsed = materialise(fresh.unionByName(same.select(*fresh.columns)), "parsed")
         base = {name: untouched(name, touched) for name in ("files", "symbols", "module_lookup", "symbol_lookup")}
         layer = indexing.build_tables(parsed, base) | {"parsed_files": parsed}
-        done = self._publish(layer, repo, began, still_owner, touched)
+        done = self._publish(layer, repo, began, still_owner, stats, scope, touched)
         return done | {"changed": n, "rebuilt": parsed.count()}
 
     def _affected(self, tables: dict[str, DataFrame], changes: DataFrame, fresh: DataFrame) -> DataFrame:

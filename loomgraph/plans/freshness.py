@@ -96,15 +96,15 @@ class Coordinator:
     def ensure_current(self, repo: str) -> Freshness:
         manifest = self.engine.store.manifest()
         if manifest is None:
-            from ..sources.repository import source_files
+            from ..sources.repository import source_names
 
-            n = source_files(self.engine.spark, repo).select("path").count()
+            n = source_names(self.engine.spark, repo).count()
             if n > AUTO_INDEX_FILES:
                 return Freshness("index_required", warnings=[f"{n} files; index explicitly"])
             return self._guarded(lambda: self.engine.index(repo, still_owner=self._owner_check()), None, repo)
         if manifest.get("root_dir") != os.path.realpath(repo):
             return Freshness("index_required", manifest["index_revision"], ["the index is of another repository"])
-        if self.engine.changes(repo).isEmpty():
+        if self.engine.is_current(repo):
             return Freshness("current", manifest["index_revision"])
         return self._guarded(lambda: self.engine.refresh(repo, still_owner=self._owner_check()), manifest["index_revision"], repo)
 
