@@ -191,14 +191,20 @@ def range_matches(items: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
 def metrics(rows: DataFrame, group: str, value: str, good: Column) -> DataFrame:
     """Median, mean, deviation, 95th percentile by nearest rank, and the rate of good rows, by group.
 
-    The percentile comes from a histogram of values, so a hot group is combined before it moves."""
-    hist = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    Median and percentile come from a histogram of values, so a hot group is combined before it moves.
+    Without values they are null."""
+    hist = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("n").over(W.partitionBy(group))
-    ranked = hist.select(group, value, upto.alias("upto"), total.alias("total"))
-    p95 = ranked.where(F.col("upto") > F.bround(0.95 * (F.col("total") - 1))).groupBy(group).agg(F.min(value).alias("p95"))
+    ranked = hist.select(F.col(group).alias("_g"), F.col(value).alias("_v"), upto.alias("upto"), total.alias("total"))
+    first = lambda reached: F.min(F.when(reached, F.col("_v")))
+    low, high = first(2 * F.col("upto") >= F.col("total")), first(2 * F.col("upto") > F.col("total"))
+    ranks = ranked.groupBy("_g").agg(
+        ((low + high) / 2).cast("double").alias("median"), first(F.col("upto") > F.bround(0.95 * (F.col("total") - 1))).alias("p95")
+    )
     base = rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("deviation"), F.avg(good.cast("double")).alias("rate"),
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"),
+        F.avg(good.cast("double")).alias("rate"),
     )
-    return base.join(p95, group)
+    joined = base.join(ranks, base[group].eqNullSafe(ranks["_g"]), "left")
+    return joined.select(group, "n", "median", "mean", "deviation", "rate", "p95")

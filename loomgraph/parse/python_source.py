@@ -1,17 +1,64 @@
 """Python sources by the standard library's syntax tree.
 
-A file with any syntax error is an error as a whole: the tree has no partial results."""
+Where a file as a whole does not parse, its top-level blocks are parsed one by one and those that fail
+are left out. A file of which nothing parses is an error."""
 
 from __future__ import annotations
 
 import ast
 import hashlib
+import re
+
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+_QUOTED = re.compile(
+    r"""#[^\n]*|\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S
+)
+_GOES_ON = re.compile(r"[\s)\]}#]|(?:else|elif|except|finally)\b")
+
+
+def _segment(node: ast.AST, lines: list[str]) -> str:
+    """A node's own text; columns are offsets into a line's UTF-8 bytes."""
+    first, last = node.lineno - 1, (node.end_lineno or node.lineno) - 1
+    if first == last:
+        return lines[first].encode()[node.col_offset : node.end_col_offset].decode("utf-8", "replace")
+    ends = lines[first].encode()[node.col_offset :], lines[last].encode()[: node.end_col_offset]
+    return ends[0].decode("utf-8", "replace") + "".join(lines[first + 1 : last]) + ends[1].decode("utf-8", "replace")
+
+
+def _blocks(source: str, lines: list[str]) -> list[tuple[int, int]]:
+    """Bounds of top-level statements, found without parsing: decorators and branches stay with what
+    they belong to, and what stands inside strings begins nothing."""
+    bare = _QUOTED.sub(lambda m: " " * len(m[0]) if m[0][0] == "#" else "\x01" + re.sub(r"[^\r\n]", "\x00", m[0][1:]), source)
+    starts, after_decorator = [], False
+    for n, line in enumerate(_LINE.findall(bare)):
+        if line[:1] == "\x00" or not line.strip() or _GOES_ON.match(line):
+            continue
+        if not after_decorator:
+            starts.append(n)
+        after_decorator = line.startswith("@")
+    return list(zip(starts, [*starts[1:], len(lines)], strict=True))
+
+
+def _tree(source: str, lines: list[str]) -> tuple[ast.Module | None, str | None]:
+    """The tree, whole or of the blocks that parse, and what was wrong."""
+    try:
+        return ast.parse(source), None
+    except (SyntaxError, ValueError, RecursionError) as error:
+        wrong = str(error)
+    body: list[ast.stmt] = []
+    for start, end in _blocks(source, lines):
+        try:
+            part = ast.parse("".join(lines[start:end]))
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+        body += ast.increment_lineno(part, start).body
+    return (ast.Module(body=body, type_ignores=[]) if body else None), wrong
 
 
-def _reference(kind: str, name: str, node: ast.AST, source: str) -> dict:
+def _reference(kind: str, name: str, node: ast.AST, lines: list[str]) -> dict:
     return {
         "kind": kind, "name": name, "start_line": node.lineno, "end_line": node.end_lineno or node.lineno,
-        "text": ast.get_source_segment(source, node) or name,
+        "text": _segment(node, lines) or name,
     }
 
 
@@ -24,7 +71,7 @@ def _dotted(node: ast.AST) -> str | None:
     return None
 
 
-def _calls(body: list[ast.stmt], source: str) -> list[dict]:
+def _calls(body: list[ast.stmt], lines: list[str]) -> list[dict]:
     """Calls by terminal name; nested functions keep their own."""
     out, stack = [], list(reversed(body))
     while stack:
@@ -32,12 +79,12 @@ def _calls(body: list[ast.stmt], source: str) -> list[dict]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             continue
         if isinstance(node, ast.Call) and (name := _dotted(node.func)):
-            out.append(_reference("calls", name.rpartition(".")[2], node, source))
+            out.append(_reference("calls", name.rpartition(".")[2], node, lines))
         stack.extend(reversed(list(ast.iter_child_nodes(node))))
     return out
 
 
-def _symbol(kind: str, name: str, parent: str | None, node, lines: list[str], source: str, test: bool) -> dict:
+def _symbol(kind: str, name: str, parent: str | None, node, lines: list[str], test: bool) -> dict:
     start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
     end = node.end_lineno or node.lineno
     text = "".join(lines[start - 1 : end])
@@ -45,11 +92,11 @@ def _symbol(kind: str, name: str, parent: str | None, node, lines: list[str], so
     for d in node.decorator_list:
         target = d.func if isinstance(d, ast.Call) else d
         if dotted := _dotted(target):
-            refs.append(_reference("decorates", dotted, d, source))
+            refs.append(_reference("decorates", dotted, d, lines))
     refs.sort(key=lambda r: (r["start_line"], r["name"]))
     if isinstance(node, ast.ClassDef):
-        refs += [_reference("inherits", n, b, source) for b in node.bases if (n := _dotted(b))]
-    refs += _calls(node.body, source)
+        refs += [_reference("inherits", n, b, lines) for b in node.bases if (n := _dotted(b))]
+    refs += _calls(node.body, lines)
     short = name.rpartition(".")[2]
     return {
         "kind": kind, "name": name, "parent": parent, "signature": lines[node.lineno - 1].strip().rstrip("{").rstrip(),
@@ -59,27 +106,27 @@ def _symbol(kind: str, name: str, parent: str | None, node, lines: list[str], so
     }
 
 
-def _walk(body: list[ast.stmt], lines: list[str], source: str, test: bool, out: list[dict], owner: str | None = None) -> None:
+def _walk(body: list[ast.stmt], lines: list[str], test: bool, out: list[dict], owner: str | None = None) -> None:
     """Definitions at a level, also under if, try and with their branches; loops are not looked into."""
     for node in body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             kind, name = ("method", f"{owner}.{node.name}") if owner else ("function", node.name)
-            out.append(_symbol(kind, name, owner, node, lines, source, test))
+            out.append(_symbol(kind, name, owner, node, lines, test))
         elif isinstance(node, ast.ClassDef) and owner is None:
-            out.append(_symbol("class", node.name, None, node, lines, source, test))
-            _walk(node.body, lines, source, test, out, node.name)
+            out.append(_symbol("class", node.name, None, node, lines, test))
+            _walk(node.body, lines, test, out, node.name)
         elif isinstance(node, ast.If):
-            _walk(node.body + node.orelse, lines, source, test, out, owner)
+            _walk(node.body + node.orelse, lines, test, out, owner)
         elif isinstance(node, ast.Try):
             handlers = [s for h in node.handlers for s in h.body]
-            _walk(node.body + handlers + node.orelse + node.finalbody, lines, source, test, out, owner)
+            _walk(node.body + handlers + node.orelse + node.finalbody, lines, test, out, owner)
 
 
-def _imports(tree: ast.Module, source: str) -> list[dict]:
+def _imports(tree: ast.Module, lines: list[str]) -> list[dict]:
     out = []
     for node in tree.body:
         place = {"start_line": node.lineno, "end_line": node.end_lineno or node.lineno} if hasattr(node, "lineno") else {}
-        text = lambda n=node: ast.get_source_segment(source, n) or ""
+        text = lambda n=node: _segment(n, lines)
         if isinstance(node, ast.Import):
             for a in node.names:
                 bound = {"local": a.asname or a.name, "imported": a.name, "kind": "module"}
@@ -113,10 +160,10 @@ def _literals(tree: ast.Module) -> list[dict]:
 
 
 def parse(source: str, is_test_file: bool) -> dict:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as error:
-        return {"status": "error", "error": str(error), "symbols": [], "imports": [], "literals": []}
+    lines = _LINE.findall(source)
+    tree, wrong = _tree(source, lines)
+    if tree is None:
+        return {"status": "error", "error": wrong, "symbols": [], "imports": [], "literals": []}
     symbols: list[dict] = []
-    _walk(tree.body, source.splitlines(keepends=True), source, is_test_file, symbols)
-    return {"status": "ok", "error": None, "symbols": symbols, "imports": _imports(tree, source), "literals": _literals(tree)}
+    _walk(tree.body, lines, is_test_file, symbols)
+    return {"status": "ok", "error": wrong, "symbols": symbols, "imports": _imports(tree, lines), "literals": _literals(tree)}

@@ -7,8 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-
-_MASK = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
+from bisect import bisect_left
+
+#: Comments, strings, templates, and regular expressions where a value may begin.
+_MASK = re.compile(
+    r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`"
+    r"|(?:(?<=[(,=:\[!&|?{};])|(?<=\breturn))[ \t]*/(?![/*])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*",
+    re.S,
+)
 _CLASS = re.compile(r"\b(?:class|interface|enum)\s+([A-Za-z_$][\w$]*)([^{;]*)\{")
 _ALIAS = re.compile(r"\btype\s+([A-Za-z_$][\w$]*)[^=;\n]*=")
 _FUNCTION = re.compile(r"\b(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)[^{;]*?\{")
@@ -22,19 +28,29 @@ _OBJECT = re.compile(r"(?:['\"]([^'\"\n]+)['\"]|([A-Za-z_$][\w$]*))\s*:\s*([A-Za
 _NO_CALL = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "constructor", "await"}
 
 
-def _masked(source: str) -> str:
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    return _MASK.sub(blank, source)
+def _masked(source: str) -> tuple[str, dict[int, str]]:
+    """The source with comments, strings and regular expressions blanked; documentation by its end."""
+    docs: dict[int, str] = {}
+
+    def blank(m: re.Match) -> str:
+        if m[0].startswith("/**") and len(m[0]) > 4:
+            docs[m.end()] = m[0][3:-2]
+        return re.sub(r"[^\n]", " ", m[0])
+
+    return _MASK.sub(blank, source), docs
 
 
-def _closing(text: str, at: int) -> int:
-    """The place after the brace that closes the one at `at`; the end if none does."""
-    depth = 0
-    for k in range(at, len(text)):
-        depth += (text[k] == "{") - (text[k] == "}")
-        if not depth:
-            return k + 1
-    return len(text)
+def _closings(text: str) -> dict[int, int]:
+    """For each brace and parenthesis the place after the one that closes it."""
+    out: dict[int, int] = {}
+    stacks: dict[str, list[int]] = {"}": [], ")": []}
+    for m in re.finditer(r"[{}()]", text):
+        if m[0] in stacks:
+            if stacks[m[0]]:
+                out[stacks[m[0]].pop()] = m.end()
+        else:
+            stacks["}" if m[0] == "{" else ")"].append(m.start())
+    return out
 
 
 def _bindings(clause: str) -> list[dict]:
@@ -54,31 +70,43 @@ def _bindings(clause: str) -> list[dict]:
 
 
 def parse(source: str, is_test_file: bool) -> dict:
-    code = _masked(source)
-    lines = source.splitlines(keepends=True)
-    line_of = lambda at: code.count("\n", 0, at) + 1
+    code, docs = _masked(source)
+    closings = _closings(code)
+    closing = lambda at: closings.get(at, len(code))
+    lines = re.findall(r"[^\n]*\n|[^\n]+", source)
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    line_of = lambda at: bisect_left(breaks, at) + 1
+    line_end = lambda at: breaks[k] if (k := bisect_left(breaks, at)) < len(breaks) else len(source)
     found: list[dict] = []
-    spans: list[tuple[int, int]] = []
+    covered = bytearray(len(code) + 1)
 
     def inside(at: int) -> bool:
-        return any(a < at < b for a, b in spans)
+        return bool(covered[at])
+
+    def cover(start: int, end: int) -> None:
+        covered[start + 1 : end] = b"\1" * max(0, end - start - 1)
 
     def calls(start: int, end: int) -> list[dict]:
         out = []
         for m in _CALL.finditer(code, start, end):
             name = m[1].replace("?.", ".").rpartition(".")[2]
             if name not in _NO_CALL and m[1] not in _NO_CALL:
-                row = line_of(m.start(1))
-                out.append({"kind": "calls", "name": name, "start_line": row, "end_line": row, "text": source[m.start() : m.end()] + ")"})
+                close = min(closing(m.end() - 1), end)
+                out.append({"kind": "calls", "name": name, "start_line": line_of(m.start(1)), "end_line": line_of(close - 1), "text": source[m.start() : close]})
         return out
 
     def doc(start: int) -> str | None:
-        before = source[:start].rstrip(" \t")
-        before = re.sub(r"(?:export|default|async)\s*$", "", re.sub(r"(?:export|default|async)\s*$", "", before)).rstrip()
-        if not before.endswith("*/") or "/**" not in before:
-            return None
-        body = before[before.rindex("/**") + 3 : -2]
-        return " ".join(filter(None, (x.strip().lstrip("*").strip() for x in body.splitlines()))) or None
+        """Of the documentation comment that stands before a definition and its leading words."""
+        at = start
+        while at:
+            word = next((w for w in ("export", "default", "async") if source.endswith(w, 0, at)), "")
+            if source[at - 1].isspace():
+                at -= 1
+            elif word:
+                at -= len(word)
+            else:
+                break
+        return " ".join(filter(None, (x.strip().lstrip("*").strip() for x in docs.get(at, "").splitlines()))) or None
 
     def add(kind: str, name: str, parent: str | None, start: int, end: int, refs: list[dict]) -> None:
         a, b = line_of(start), line_of(max(start, end - 1))
@@ -87,7 +115,7 @@ def parse(source: str, is_test_file: bool) -> dict:
         found.append(
             {
                 "kind": kind, "name": name, "parent": parent,
-                "signature": source[start:].split("\n", 1)[0].strip().rstrip("{").rstrip(), "docstring": doc(start),
+                "signature": source[start : line_end(start)].strip().rstrip("{").rstrip(), "docstring": doc(start),
                 "start_line": a, "end_line": b, "source": text, "source_hash": hashlib.sha256(text.encode()).hexdigest(),
                 "is_test": is_test_file and kind != "class" and short.startswith(("test", "it", "describe")), "refs": refs,
             }
@@ -96,7 +124,7 @@ def parse(source: str, is_test_file: bool) -> dict:
     for m in _CLASS.finditer(code):
         if inside(m.start()):
             continue
-        end = _closing(code, m.end() - 1)
+        end = closing(m.end() - 1)
         refs = []
         for clause in re.finditer(r"\b(?:extends|implements)\s+([^{]*?)(?=\bimplements\b|\bextends\b|$)", m[2]):
             for base in re.split(r",(?![^<]*>)", clause[1]):
@@ -104,40 +132,39 @@ def parse(source: str, is_test_file: bool) -> dict:
                     row = line_of(m.start())
                     refs.append({"kind": "inherits", "name": base, "start_line": row, "end_line": row, "text": base})
         add("class", m[1], None, m.start(), end, refs)
-        spans.append((m.start(), end))
-        if not code[m.start() :].startswith("class"):
+        cover(m.start(), end)
+        if not code.startswith("class", m.start()):
             continue
         at = m.end() - 1
         while method := _METHOD.search(code, at, end):
-            close = _closing(code, method.end() - 1)
+            close = closing(method.end() - 1)
             if method[1] not in _NO_CALL - {"constructor"}:
                 add("method", f"{m[1]}.{method[1]}", m[1], method.start(1), close, calls(method.end(), close))
             at = close - 1
     for m in _ALIAS.finditer(code):
         if not inside(m.start()):
-            add("class", m[1], None, m.start(), code.find("\n", m.end()) if "\n" in code[m.end() :] else len(code), [])
+            add("class", m[1], None, m.start(), line_end(m.end()), [])
     for pattern in (_FUNCTION, _ARROW):
         for m in pattern.finditer(code):
             if inside(m.start()):
                 continue
             if code[m.end() - 1 : m.end()] == "{":
-                close = _closing(code, m.end() - 1)
+                close = closing(m.end() - 1)
             elif code[m.end() : m.end() + 1] == "{":
-                close = _closing(code, m.end())
+                close = closing(m.end())
             else:
-                stop = code.find("\n", m.end())
-                close = len(code) if stop < 0 else stop
+                close = line_end(m.end())
             add("function", m[1], None, m.start(), close, calls(m.end(), close))
-            spans.append((m.start(), close))
+            cover(m.start(), close)
     imports = []
     for pattern in (_IMPORT, _REQUIRE):
         for m in pattern.finditer(source):
             if code[m.start() : m.end()].strip() and not inside(m.start()):
-                row = source.count("\n", 0, m.start()) + 1
-                row_end = source.count("\n", 0, m.end()) + 1
+                row = line_of(m.start())
+                row_end = line_of(m.end())
                 imports.append({"name": m[3], "source": m[0].strip(), "start_line": row, "end_line": row_end, "bindings": _bindings(m[1])})
     literals = [
-        {"name": m[3].rpartition(".")[2], "relation": "registers", "line": source.count("\n", 0, m.start()) + 1}
+        {"name": m[3].rpartition(".")[2], "relation": "registers", "line": line_of(m.start())}
         for m in _OBJECT.finditer(source)
         if code[m.start(3)] != " "
     ]

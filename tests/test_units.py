@@ -155,3 +155,132 @@ def test_include_roots():
     for bad in ("../x", "/etc", " "):
         with pytest.raises(ValueError):
             repository.include_roots((bad,))
+
+
+def test_broken_python_keeps_what_parses():
+    from loomgraph.parse import python_source
+
+    source = (
+        'import os\n\n\ndef a():\n    return b("é",\n   1)\n\n\ndef broken(:\n    pass\n\n\n@deco(1)\nclass K(Base):\n    """text\nx = (\n"""\n'
+        "    def m(self):\n        try:\n            pass\n        except E:\n            a()\n\n\nif x:\n    def c(): pass\nelse:\n    def d(): pass\n"
+    )
+    found = python_source.parse(source, False)
+    assert found["status"] == "ok" and "line 9" in found["error"] and [i["name"] for i in found["imports"]] == ["os"]
+    places = {s["name"]: (s["start_line"], s["end_line"], [r["text"] for r in s["refs"]]) for s in found["symbols"]}
+    assert places == {
+        "a": (4, 6, ['b("é",\n   1)']), "K": (13, 22, ["deco(1)", "Base"]), "K.m": (18, 22, ["a()"]), "c": (26, 26, []), "d": (28, 28, []),
+    }
+    assert python_source.parse("def x(:\n", False)["status"] == "error"
+
+
+def test_script_parser_regular_expressions_and_spans():
+    from loomgraph.parse import script_source
+
+    source = "/** Doc. */\nexport class K {\n  m(x) { return a(x, \")\"); }\n}\nconst re = /[\"'{]/g;\nfunction f(x) { return /\\{\"/.test(x) && a(\n  1,\n  2); }\n"
+    found = {s["name"]: s for s in script_source.parse(source, False)["symbols"]}
+    assert set(found) == {"K", "K.m", "f"} and found["K"]["docstring"] == "Doc." and found["f"]["end_line"] == 8
+    assert [r["text"] for r in found["K.m"]["refs"]] == ['a(x, ")")'] and ("a(\n  1,\n  2)", 6, 8) in [(r["text"], r["start_line"], r["end_line"]) for r in found["f"]["refs"]]
+
+
+def _git(root, *args):
+    import subprocess
+
+    subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+
+def test_rules_and_walk(spark, tmp_path):
+    from loomgraph.sources import repository
+
+    for name in ("a.py", "gen/b.py", "gen/keep.py", "sub/c.py", "sub/d.py", "dist/e.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("gen/\n/sub/c.py\n")
+    names = lambda root, **k: {r.path for r in repository.source_names(spark, str(root), **k).collect()}
+    assert names(tmp_path) == {"a.py", "sub/d.py"}  # a walk obeys all rules and does not enter gen
+    assert repository.walked_paths(str(tmp_path), repository.ignore_rules(str(tmp_path))) == [".gitignore", "a.py", "sub/c.py", "sub/d.py"]
+    assert names(tmp_path, exclude=("a.py",)) == {"sub/d.py"} and names(tmp_path, roots=("sub",)) == {"sub/d.py"}
+    (tmp_path / ".gitignore").write_text("gen/*\n!gen/keep.py\n/sub/c.py\n")
+    assert names(tmp_path) == {"a.py", "gen/keep.py", "sub/d.py"}
+    _git(tmp_path, "init", "-q")
+    _git(tmp_path, "add", "-f", "gen/b.py", "a.py", "sub/c.py")
+    assert names(tmp_path) == {"a.py", "gen/b.py", "sub/c.py"}  # what git tracks does not obey git's rules
+    assert names(tmp_path / "sub") == {"c.py"}
+    (tmp_path / repository.IGNORE_FILE).write_text("/sub/c.py\n")
+    assert names(tmp_path) == {"a.py", "gen/b.py"} and names(tmp_path / "sub") == set()
+    for path in ("a.py", "gen/b.py", "sub/c.py", "sub/d.py", "none.py"):
+        assert repository.is_discoverable(str(tmp_path), path) == (path in ("a.py", "gen/b.py"))
+    assert repository.untracked_paths(str(tmp_path), []) == [] and "sub/d.py" in repository.untracked_paths(str(tmp_path))
+
+
+def test_head_and_submodules(tmp_path):
+    from loomgraph.sources import repository
+
+    root, inner = tmp_path / "r", tmp_path / "inner"
+    for at in (root, inner):
+        at.mkdir()
+        _git(at, "init", "-q", "-b", "main")
+        (at / "m.py").write_text("x = 1\n")
+        _git(at, "add", "-A")
+        _git(at, "commit", "-qm", "one")
+    loose = repository.git_head(str(root))
+    assert loose[0] == "main" and loose[1] == repository.git(str(root), "rev-parse", "HEAD").decode()[:12]
+    _git(root, "pack-refs", "--all")
+    _git(root, "worktree", "add", "-q", str(tmp_path / "w"), "-b", "side")
+    assert repository.git_head(str(root)) == loose and repository.git_head(str(tmp_path / "w")) == ("side", loose[1])
+    _git(root, "checkout", "-q", "--detach")
+    assert repository.git_head(str(root)) == ("HEAD", loose[1]) and repository.git_head(str(tmp_path)) == (None, None)
+    _git(root, "-c", "protocol.file.allow=always", "submodule", "add", "-q", str(inner), "lib")
+    assert repository.vcs_paths(str(root)) == [".gitmodules", "lib/m.py", "m.py"]
+
+
+def test_change_scan(spark, tmp_path, monkeypatch):
+    """Hashes, git and file times find the same changes, and the latter two read suspects alone."""
+    from loomgraph.plans.engine import Engine
+    from loomgraph.sources import change_scan
+
+    root = tmp_path / "r"
+    root.mkdir()
+    for name in "abcd":
+        (root / f"{name}.py").write_text(f"def {name}():\n    pass\n")
+    _git(root, "init", "-q")
+    _git(root, "add", "-A")
+    _git(root, "commit", "-qm", "one")
+    (root / "d.py").write_text("def dirty():\n    pass\n")
+    engine = Engine(spark, str(tmp_path / "s"))
+    engine.index(str(root))
+    stored, manifest = engine.store.read()["files"], engine.store.manifest()
+    scan = lambda m=manifest: {(r.path, r.change) for r in change_scan.changes(spark, str(root), stored, m).collect()}
+    assert scan() == set() and manifest["built_dirty"] == ["d.py"]
+    _git(root, "checkout", "-q", "--", "d.py")  # clean again, but not what was indexed
+    (root / "a.py").write_text("def a():\n    return 1\n")
+    _git(root, "commit", "-qam", "two")
+    (root / "b.py").unlink()
+    (root / "e.py").write_text("def e():\n    pass\n")
+    _git(root, "add", "e.py")
+    want = {("a.py", "changed"), ("b.py", "deleted"), ("d.py", "changed"), ("e.py", "new")}
+    assert scan() == want
+    monkeypatch.setattr(change_scan, "TINY_FILES", -1)
+    assert change_scan.git_suspects(str(root), manifest) == ["a.py", "b.py", "d.py", "e.py"] and scan() == want
+    without_git = manifest | {"built_commit": None}
+    assert change_scan.git_suspects(str(root), without_git) is None and scan(without_git) == want
+    stats = change_scan.repository.source_stats(spark, str(root))
+    assert {r.path for r in change_scan.stat_suspects(stored, stats).collect()} == {"a.py", "b.py", "d.py", "e.py"}
+    (root / ".gitignore").write_text("x\n")  # other rules: git's answer is not enough
+    assert change_scan.git_suspects(str(root), manifest) is None and scan() == want
+
+
+def test_unchanged_trees_are_not_read_again(spark, tmp_path, monkeypatch):
+    from loomgraph.plans.engine import Engine
+
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("def a():\n    pass\n")
+    engine = Engine(spark, str(tmp_path / "s"))
+    engine.index(str(root))
+    assert engine.is_current(str(root))
+    real = engine.changes
+    monkeypatch.setattr(engine, "changes", lambda repo: (_ for _ in ()).throw(AssertionError("read again")))
+    assert engine.is_current(str(root))
+    monkeypatch.setattr(engine, "changes", real)
+    (root / "b.py").write_text("def b():\n    pass\n")
+    assert not engine.is_current(str(root))
