@@ -1,4 +1,4 @@
-"""Command line: python -m loomgraph COMMAND --root SNAPSHOTS [...]; answers are JSON."""
+"""Command line: python -m loomgraph COMMAND --root SNAPSHOTS [...]; answers are JSON, or text."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from dataclasses import asdict, is_dataclass
 from pyspark.sql import SparkSession
 
 from .plans.engine import Engine
+from .plans.renderer import RENDERERS
 
 
 def without_empty(value):
@@ -24,6 +25,7 @@ def without_empty(value):
 def main() -> None:
     parser = argparse.ArgumentParser(prog="loomgraph", description=__doc__)
     parser.add_argument("--root", required=True, help="folder of snapshots")
+    parser.add_argument("--text", action="store_true", help="summaries and Markdown where there are such")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("index", "refresh"):
         one = commands.add_parser(name)
@@ -52,7 +54,11 @@ def main() -> None:
         "status": engine.status, "minimal": lambda: engine.minimal(a.task), "graph": lambda: engine.graph(a.node, a.depth),
         "path": lambda: engine.path(a.source, a.target), "context": lambda: engine.context(a.task, a.target, a.token_budget),
     }
-    print(json.dumps(without_empty(calls[a.command]()), sort_keys=True, ensure_ascii=False))
+    answer = calls[a.command]()
+    if a.text and a.command in RENDERERS:
+        print(RENDERERS[a.command](answer), end="")
+    else:
+        print(json.dumps(without_empty(answer), sort_keys=True, ensure_ascii=False))
 
 
 if __name__ == "__main__":

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: BM25 parameters and the weights of the lexical columns.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"name": 4.0, "path": 2.0, "signature": 1.0, "docstring": 2.0, "summary": 1.0, "source": 1.0}
@@ -103,5 +105,20 @@ def line_search(docs: DataFrame, terms: list[str], limit: int) -> DataFrame:
     low = F.lower("content")
     found = reduce(lambda a, b: a + b, (F.when(low.contains(t), 4).otherwise(0) for t in terms))
     defines = F.when(low.rlike(r"^\s*(def|class|function|const)\s"), 12).otherwise(0)
-    scored = lines.select("doc_id", (F.col("line") + 1).alias("line"), (found + defines).alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "doc_id", "line").limit(limit)
+    scored = lines.where(found > 0).select("doc_id", (F.col("line") + 1).alias("line"), (found + defines).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id", "line").limit(limit)
+
+
+def ranked_matches(files: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """(path, line, score) of lines of (path, text) that contain a term, the best first: 4 for each term
+    among the line's words, 3 for each among the path's, 12 more for a definition, 8 less in tests,
+    unless tests are asked for. Ties go by path and line."""
+    low = [t.lower() for t in dict.fromkeys(terms)]
+    lines = files.select("path", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "content"))
+    matched = lines.where(reduce(lambda a, b: a | b, (F.contains(F.lower("content"), F.lit(t)) for t in low)))
+    asked = F.array(*[F.lit(t) for t in low])
+    shared = lambda c: F.size(F.array_intersect(T.identifier_tokens(F.col(c)), asked))
+    defines = F.lower("content").rlike(r"^\s*(?:async\s+)?(?:def|class|function|export)\b")
+    in_tests = F.contains(F.concat(F.lit("/"), F.lower("path")), F.lit("/test")) & F.lit(not {"test", "tests"} & set(low))
+    score = 4 * shared("content") + 3 * shared("path") + F.when(defines, 12).otherwise(0) - F.when(in_tests, 8).otherwise(0)
+    return matched.select("path", (F.col("line") + 1).alias("line"), score.alias("score")).orderBy(F.desc("score"), F.lower("path"), "path", "line").limit(limit)

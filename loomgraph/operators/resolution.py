@@ -101,6 +101,27 @@ def method_parents(methods: DataFrame, classes: DataFrame) -> DataFrame:
     return m.join(c, "class_name").withColumn("r", rank).where("r = 1").select("id", "parent_id")
 
 
+#: Lines of a file that are searched for imports, and what an import looks like.
+IMPORT_LINES = 120
+IMPORT_LINE = r"^\s*(?:from\s+([A-Za-z_][A-Za-z0-9_.]*)\s+import|import\s+([A-Za-z_][A-Za-z0-9_.]*))"
+
+
+def one_hop_imports(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path, position, line) of Python files that those asked for import, at the first place that does.
+
+    files: (path, text); asked: (path, position). A module is its file, else its package. The head of
+    a file is searched by lines, as the feature has it, so nothing is parsed."""
+    own = files.join(asked.withColumnRenamed("position", "_at"), "path", "left_semi").where(F.col("path").endswith(".py"))
+    heads = own.select("path", F.posexplode(F.slice(F.split("text", r"\r\n|\r|\n"), 1, IMPORT_LINES)).alias("line", "content"))
+    module = F.concat(F.regexp_extract("content", IMPORT_LINE, 1), F.regexp_extract("content", IMPORT_LINE, 2))
+    wanted = heads.select("path", "line", F.replace(module, F.lit("."), F.lit("/")).alias("module")).where("module <> ''")
+    wanted = wanted.join(asked, "path").select(F.struct("position", "line").alias("at"), "module").groupBy("module").agg(F.min("at").alias("at"))
+    there = files.select(F.col("path").alias("found"))
+    options = wanted.select("at", "module", F.posexplode(F.array(F.concat("module", F.lit(".py")), F.concat("module", F.lit("/__init__.py")))).alias("choice", "found"))
+    best = options.join(there, "found", "left_semi").groupBy("module").agg(F.min(F.struct("choice", "found", "at")).alias("b"))
+    return best.groupBy(F.col("b.found").alias("path")).agg(F.min("b.at").alias("at")).select("path", "at.position", "at.line")
+
+
 def tested_by(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """tested -> test edges from the resolved calls of test symbols."""
     tests = symbols.where("is_test").select(F.col("id").alias("_t"))

@@ -16,9 +16,12 @@ from ..operators import graph, indexing, lexical, maintenance, parsing, resoluti
 from ..operators.scratch import materialise
 from ..operators.store import MOST_LAYERS, SnapshotStore, owner_path
 from ..sources import change_scan, repository
+from . import comparison
 
 #: Budgets of a request.
 LEAST_BUDGET, MOST_BUDGET = 256, 16_384
+#: Files and symbols up to which one exact target is the only candidate.
+TINY_REPO_FILES, TINY_REPO_SYMBOLS = 100, 1_000
 #: The order of roles under each intent.
 _ROLE_ORDER = {
     "debug": ("caller", "test", "dependency"), "edit": ("dependency", "test", "caller"), "review": ("dependency", "caller", "test"),
@@ -194,17 +197,18 @@ class Engine:
         tables = self.store.read()
         everything = self._entities(tables)
         symbols = everything.where("kind <> 'file'")
-        tokens = [t for t in retrieval._tokens(task) if len(t) > 1]
-        corpus = lexical.totals(tables["lexical_lengths"])
-        hits = lexical.top_documents(lexical.ranked(tables["postings"], corpus, tokens), limit).collect()
-        fts = self.spark.createDataFrame([(r["node_id"], k) for k, r in enumerate(hits)], "id string, fts_position int")
-        names = sorted({x.lower() for x in re.findall(T.IDENTIFIER, task) if len(x) > 2})
-        exact = symbols.where(F.lower("name").isin(names)).orderBy("id").limit(limit) if names else symbols.limit(0)
         aimed = []
         if target:
             found = retrieval.target_cascade(symbols, target, self._reexported(tables, target)).collect()
             sure = len(found) == 1 and found[0]["stage"] < 5
             aimed = [(r["id"], k, sure) for k, r in enumerate(found)]
+        alone = bool(aimed) and aimed[0][2] and self._is_tiny(tables)
+        tokens = [] if alone else [t for t in retrieval._tokens(task) if len(t) > 1]
+        corpus = lexical.totals(tables["lexical_lengths"])
+        hits = lexical.top_documents(lexical.ranked(tables["postings"], corpus, tokens), limit).collect()
+        fts = self.spark.createDataFrame([(r["node_id"], k) for k, r in enumerate(hits)], "id string, fts_position int")
+        names = [] if alone else sorted({x.lower() for x in re.findall(T.IDENTIFIER, task) if len(x) > 2})
+        exact = symbols.where(F.lower("name").isin(names)).orderBy("id").limit(limit) if names else symbols.limit(0)
         targets = self.spark.createDataFrame(aimed, "id string, target_position int, target_exact boolean")
         anchors = targets.select("id") if aimed else exact.select("id") if names else fts.where("fts_position = 0").select("id")
         evidence = fts.join(targets, "id", "full").join(exact.select("id", F.lit(True).alias("exact_name")), "id", "full")
@@ -218,6 +222,9 @@ class Engine:
         placed = scored.withColumn("rank", F.row_number().over(W.orderBy(*retrieval.rank_order())))
         return retrieval.deduplicated(placed).orderBy("rank").limit(limit)
 
+    def _is_tiny(self, tables: dict[str, DataFrame]) -> bool:
+        return tables["files"].count() <= TINY_REPO_FILES and tables["symbols"].count() <= TINY_REPO_SYMBOLS
+
     def _reexported(self, tables: dict[str, DataFrame], target: str) -> DataFrame:
         """Symbols that a name stands for through imports, re-exports included."""
         b = tables["import_bindings"]
@@ -270,6 +277,12 @@ class Engine:
         found = held.where((F.col("s.name") == row["name"]) & (F.col("s.start_line") == row["start_line"])).select("s.source").first()
         return found["source"] if found else ""
 
+    def compare(self, repo: str, task: str, target: str | None = None, token_budget: int = 800) -> dict:
+        """What a plain search-and-read loop finds for a task, to hold contexts against."""
+        files = repository.source_files(self.spark, repo).select("path", F.col("content").cast("string").alias("text"))
+        read = lambda path, start, end: repository.read_lines(repo, path, start, end)
+        return comparison.retrieve(files.where(F.is_valid_utf8("text")), task, read, target, token_budget)
+
     def context(self, task: str, target: str | None = None, token_budget: int = 800, source: str = "auto") -> dict:
         """The target of a task and what surrounds it, within a budget of tokens. source says whose
         code goes along: the target's (auto), everybody's (always) or nobody's (never)."""

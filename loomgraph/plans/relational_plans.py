@@ -236,7 +236,16 @@ def _parsed(spark):
     return parsing.parse_files(spark.createDataFrame(rows, "path string, content binary"))
 
 
-@query("parse_symbols_udtf")
+@query("parse_symbols_udtf", """SELECT * FROM (VALUES
+  ('helpers.py', 'ok', 'function', 'clean_name', 'def clean_name(value):', 1, 2, false),
+  ('service.py', 'ok', 'class', 'Service', 'class Service:', 4, 6, false),
+  ('service.py', 'ok', 'method', 'Service.create', 'def create(self, name):', 5, 6, false),
+  ('tests/test_service.py', 'ok', 'function', 'test_create', 'def test_create():', 4, 5, true),
+  ('src/text.ts', 'ok', 'function', 'trim', 'function trim(x: string)', 1, 3, false),
+  ('src/text.ts', 'ok', 'function', 'up', 'const up = (x: string) => trim(x);', 4, 4, false),
+  ('src/store.js', 'ok', 'class', 'Store', 'class Store extends Base', 2, 6, false),
+  ('src/store.js', 'ok', 'method', 'Store.put', 'put(x)', 3, 5, false),
+  ('broken.py', 'error', NULL, NULL, NULL, NULL, NULL, NULL)) v(path, status, kind, name, signature, start_line, end_line, is_test)""")
 def parse_symbols_udtf(spark, sf_dir):
     """Symbols of sources given in line; the tables hold no code."""
     parsed = _parsed(spark)
@@ -256,3 +265,13 @@ def index_edges(spark, sf_dir):
     from ..operators import indexing
 
     return indexing.build_tables(_parsed(spark).persist())["edges"].select("source", "target", "relation")
+
+
+@query("one_hop_imports", """SELECT * FROM (VALUES ('service.py', 0, 0), ('helpers.py', 1, 0)) v(path, position, line)""")
+def one_hop_imports(spark, sf_dir):
+    """Imported files of sources given in line; the tables hold no code."""
+    from ..operators import resolution
+
+    files = spark.createDataFrame(_SOURCES, "path string, text string")
+    asked = spark.createDataFrame([("tests/test_service.py", 0), ("service.py", 1), ("src/store.js", 2)], "path string, position int")
+    return resolution.one_hop_imports(files, asked)

@@ -86,6 +86,22 @@ def test_minimal_and_context(engine):
         engine.context("x", token_budget=1)
 
 
+def test_tiny_target_and_comparison(engine, repo):
+    from loomgraph.plans import renderer
+
+    alone = engine.candidates("Change create_user and clean_name", "create_user").collect()
+    assert [r["name"] for r in alone] == ["create_user"]
+    assert "clean_name" in {r["name"] for r in engine.candidates("Change create_user and clean_name").collect()}
+    found = engine.compare(str(repo), "Explain create_user", "create_user")
+    assert found["terms"] == ["create_user"] and found["slices"][0]["path"] == "service.py" and "def create_user" in found["slices"][0]["code"]
+    assert {"helpers.py", "tests/test_service.py"} <= {s["path"] for s in found["slices"]} and found["tokens"] <= 800
+    assert engine.compare(str(repo), "Explain nothing_like_it")["slices"] == []
+    text = renderer.context_markdown(engine.context("Change create_user", "create_user"))
+    assert text.startswith("# Context\n\nStatus: `ready`\n") and "### `service.py:4-5` `create_user` (target)\n\n```\ndef create_user" in text
+    assert "## Missing" not in text and "## Next" in renderer.context_markdown(engine.context("Change big", "big", token_budget=256))
+    assert renderer.status_summary(engine.status()).endswith("Languages: python, typescript\nNot parsed: 1\n")
+
+
 def test_refresh(engine, repo):
     assert engine.refresh(str(repo))["changed"] == 0
     (repo / "helpers.py").write_text("def tidy_name(value):\n    return value\n")

@@ -284,3 +284,12 @@ def test_unchanged_trees_are_not_read_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(engine, "changes", real)
     (root / "b.py").write_text("def b():\n    pass\n")
     assert not engine.is_current(str(root))
+
+
+def test_ranked_matches(spark):
+    from loomgraph.operators import lexical
+
+    rows = [("src/user.py", "x = 1\ndef save(user):\n    user = 2"), ("tests/a.py", "user"), ("b.py", "class Other:\n    superuser()")]
+    found = lexical.ranked_matches(spark.createDataFrame(rows, "path string, text string"), ["User"], 9).collect()
+    assert [tuple(r) for r in found] == [("src/user.py", 2, 19), ("src/user.py", 3, 7), ("b.py", 2, 0), ("tests/a.py", 1, -4)]
+    assert not lexical.line_search(spark.createDataFrame([(1, "def a():")], "doc_id long, text string"), ["zzz"], 5).collect()
