@@ -244,9 +244,9 @@ class Engine:
         own = tables["symbols"].where(F.col("id") == target).select("file_id")
         literals = tables["parsed_files"].select(T.file_id(F.col("path")).alias("file_id"), F.explode("literals").alias("l"))
         names = literals.join(F.broadcast(own), "file_id", "left_semi").select(F.col("l.name").alias("lookup_name"), F.col("l.relation").alias("relation")).distinct()
-        found = tables["symbol_lookup"].join(names, "lookup_name").groupBy("lookup_name", "relation").agg(F.collect_set("symbol_id").alias("ids"))
-        return found.where("size(ids) = 1").select(
-            F.lit(target).alias("source"), F.get("ids", F.lit(0)).alias("target"), "relation", F.lit(0.55).alias("confidence")
+        found = tables["symbol_lookup"].join(names, "lookup_name").groupBy("lookup_name", "relation").agg(F.min("symbol_id").alias("first"), F.max("symbol_id").alias("last"))
+        return found.where("first = last").select(
+            F.lit(target).alias("source"), F.col("first").alias("target"), "relation", F.lit(0.55).alias("confidence")
         ).where("source <> target")
 
     def _plan(self, task: str, budget: int, exact: bool) -> dict:

@@ -263,8 +263,9 @@ def parse_symbols_udtf(spark, sf_dir):
   ('file::service.py', 'file::helpers.py', 'imports'), ('file::tests/test_service.py', 'file::service.py', 'imports'), ('file::src/store.js', 'file::src/text.ts', 'imports')) v(source, target, relation)""")
 def index_edges(spark, sf_dir):
     from ..operators import indexing
+    from ..operators.scratch import materialise
 
-    return indexing.build_tables(_parsed(spark).persist())["edges"].select("source", "target", "relation")
+    return indexing.build_tables(materialise(_parsed(spark), "parsed"))["edges"].select("source", "target", "relation")
 
 
 @query("one_hop_imports", """SELECT * FROM (VALUES ('service.py', 0, 0), ('helpers.py', 1, 0)) v(path, position, line)""")
