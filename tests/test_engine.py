@@ -171,3 +171,20 @@ def test_freshness(spark, repo, tmp_path):
     c.lease.release("someone")
     c.refresh_seconds = 300.0
     assert c.ensure_current(str(repo)).revision == 2
+
+
+def test_dispatch_by_literals(spark, tmp_path):
+    repo = tmp_path / "r"
+    repo.mkdir()
+    (repo / "handlers.py").write_text("def on_order():\n    pass\n\n\ndef twice():\n    pass\n")
+    (repo / "other.py").write_text("def twice():\n    pass\n")
+    (repo / "router.py").write_text(
+        "import handlers\n\nTABLE = {'o': handlers.on_order, 't': handlers.twice}\n\n\ndef route(key):\n    return getattr(handlers, 'on_order')() or TABLE[key]()\n"
+    )
+    e = Engine(spark, str(tmp_path / "s"))
+    e.index(str(repo))
+    tables = e.store.read()
+    found = e._dispatched(tables, "symbol::router.py::function::route").collect()
+    want = {("symbol::handlers.py::function::on_order", r) for r in ("dispatches", "registers")}
+    assert {(r.target, r.relation) for r in found} == want  # `twice` may be either function
+    assert "on_order" in {s["symbol"] for s in e.context("Debug route dependency flow", "route")["slices"]}
