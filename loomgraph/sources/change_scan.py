@@ -65,10 +65,15 @@ def control_digest(root: str) -> str:
 def git_suspects(root: str, manifest: dict) -> list[str] | None:
     """Paths that git has reason to think changed; None where it cannot tell all of them."""
     at_build, commit = manifest.get("built_dirty"), manifest.get("built_commit")
-    if at_build is None or not commit or manifest.get("control") != control_digest(root) or Path(root, repository.INCLUDE_FILE).exists():
+    if at_build is None or not commit or manifest.get("control") != control_digest(root):
+        return None
+    # Git's status names submodules as a whole, and says nothing of what it ignores but is included.
+    top = repository.git(root, "rev-parse", "--show-toplevel")
+    modules = Path(top.decode("utf-8", "replace").rstrip("\n"), ".gitmodules") if top else None
+    if modules is None or modules.exists() or ".gitmodules" in at_build or Path(root, repository.INCLUDE_FILE).exists():
         return None
     now = uncommitted(root)
-    if now is None:
+    if now is None or ".gitmodules" in now:
         return None
     between: list[str] = []
     if repository.git_head(root)[1] != commit:
@@ -76,7 +81,7 @@ def git_suspects(root: str, manifest: dict) -> list[str] | None:
         if printed is None:
             return None
         between = [p for p in printed.decode("utf-8", "replace").split("\0") if p]
-        if any(os.path.isdir(os.path.join(root, p)) for p in between):
+        if any(p == ".gitmodules" or os.path.isdir(os.path.join(root, p)) for p in between):
             return None
     return sorted({*at_build, *now, *between})
 

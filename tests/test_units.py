@@ -265,6 +265,10 @@ def test_change_scan(spark, tmp_path, monkeypatch):
     assert change_scan.git_suspects(str(root), without_git) is None and scan(without_git) == want
     stats = change_scan.repository.source_stats(spark, str(root))
     assert {r.path for r in change_scan.stat_suspects(stored, stats).collect()} == {"a.py", "b.py", "d.py", "e.py"}
+    (root / ".gitmodules").write_text("")
+    assert change_scan.git_suspects(str(root), manifest) is None
+    (root / ".gitmodules").unlink()
+    assert change_scan.git_suspects(str(root), manifest) is not None
     (root / ".gitignore").write_text("x\n")  # other rules: git's answer is not enough
     assert change_scan.git_suspects(str(root), manifest) is None and scan() == want
 
