@@ -1,7 +1,8 @@
 """Graph operators over an edge table (source, target, relation, confidence_tier, ...).
 
 Frontiers, neighbourhoods and paths are bounded by their own limits. They are lists of ids that go
-into filters, which reach the scan; so a level of a search is one filtered pass and no join. What
+into filters, which reach the scan; so a level of a search is one filtered pass and no join. Only
+shortest_paths searches without those limits; its levels are tables as soon as they are long. What
 grows with the graph is only ever filtered, aggregated or joined by key.
 """
 
@@ -13,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TIERS
-from .scratch import materialise
+from .scratch import discard, materialise
 
 #: Limits of graph queries.
 MAX_DEPTH, MAX_NODES, MAX_EDGES = 3, 100, 200
 MAX_PATH, MAX_VISITED, MAX_FRONTIER_EDGES = 15, 2000, 4000
 HUB_FLOOR, HUB_PERCENTILE = 50, 0.99
+#: Edges from which an end is kept out of shuffles by its key, and the most ends that can be: beyond it the edges rise.
+HOT_EDGES, HOT_ENDS = 1000, 100_000
 #: Relations along which a change reaches the source, and those along which it reaches the target.
 TO_SOURCE, TO_TARGET = ("calls", "inherits", "imports"), ("decorates", "tested_by")
 
@@ -195,6 +198,84 @@ def shortest_path(
     return None
 
 
+@dataclass(frozen=True)
+class Level:
+    """Nodes that are equally far from a start (id, parent, relation), and their ids if they are few."""
+
+    table: DataFrame
+    ids: list[str] | None
+
+
+def _arcs(edges: DataFrame) -> DataFrame:
+    """Each edge as seen from both of its ends: at, to."""
+    ways = F.array(*(F.struct(F.col(a).alias("at"), F.col(b).alias("to")) for a, b in (("source", "target"), ("target", "source"))))
+    return edges.select("source", "relation", "target", F.inline(ways)).where("to IS NOT NULL")
+
+
+def _hot_ends(edges: DataFrame) -> DataFrame:
+    """Ends with more edges than HOT_EDGES and more than their share, at most HOT_ENDS."""
+    most = max(HOT_EDGES, 2 * edges.count() // HOT_ENDS)
+    return degree_counts(edges).where(F.col("degree") > most).select(F.col("node_id").alias("_hot"))
+
+
+def _arcs_from(edges: DataFrame, level: Level, hot: DataFrame | None) -> DataFrame:
+    """The arcs at the nodes of a level: a filter if they are few, else a join by key, where hot ends
+    take no part in the shuffle."""
+    if level.ids is not None:
+        return _arcs(touching(edges, level.ids)).where(F.col("at").isin(level.ids))
+    arcs, ahead = _arcs(edges), level.table.select(F.col("id").alias("_n"))
+    plain = arcs.join(F.broadcast(hot), arcs["at"] == hot["_hot"], "left_anti").join(ahead, F.col("at") == F.col("_n"), "left_semi")
+    hot = hot.join(ahead, hot["_hot"] == ahead["_n"], "left_semi")
+    return plain.unionByName(arcs.join(F.broadcast(hot), arcs["at"] == hot["_hot"], "left_semi"))
+
+
+def _without(nodes: DataFrame, level: Level) -> DataFrame:
+    if level.ids is not None:
+        return nodes.where(~F.col("id").isin(level.ids))
+    seen = level.table.select(F.col("id").alias("_n"))
+    return nodes.join(seen, nodes["id"] == seen["_n"], "left_anti")
+
+
+def shortest_paths(
+    edges: DataFrame, source: str, targets: list[str], relations: list[str] | None = None, tiers: list[str] | None = None
+) -> dict[str, list[tuple[str, str | None]] | None]:
+    """What shortest_path gives for each of a few targets, by one search of the whole graph: however
+    many nodes and edges a level has, all are looked at. None if no path has at most MAX_PATH edges.
+
+    A level is written as a table, with the first edge that leads to each node by a grouped minimum.
+    The neighbours of a level are in itself, the one before or the next, so two levels are taken out.
+    """
+    kept = edges.where(edge_filter(relations, tiers)).select("source", "relation", "target")
+    start = edges.sparkSession.createDataFrame([(source, None, None)], "id string, parent string, relation string")
+    levels, far, hot, written = [Level(start, [source])], {source: 0} if source in targets else {}, None, []
+    while len(levels) <= MAX_PATH and (wanted := [t for t in targets if t not in far]):
+        if levels[-1].ids is None and hot is None:
+            hot = materialise(_hot_ends(kept), "hot")
+            written.append(hot)
+        first = F.min(F.struct("source", "relation", "target")).alias("e")
+        new = _arcs_from(kept, levels[-1], hot).groupBy(F.col("to").alias("id")).agg(first)
+        for level in levels[-2:]:
+            new = _without(new, level)
+        parent = F.when(F.col("e.source") == F.col("id"), F.col("e.target")).otherwise(F.col("e.source"))
+        table = materialise(new.select("id", parent.alias("parent"), F.col("e.relation").alias("relation")), "level")
+        written.append(table)
+        ids = [r["id"] for r in table.select("id").limit(MAX_VISITED + 1).collect()]
+        if not ids:
+            break
+        far |= dict.fromkeys((r["id"] for r in table.where(F.col("id").isin(wanted)).select("id").collect()), len(levels))
+        levels.append(Level(table, ids if len(ids) <= MAX_VISITED else None))
+    paths = {t: [] if t in far else None for t in targets}
+    at = {}
+    for k in range(max(far.values(), default=-1), 0, -1):
+        at |= {t: t for t, n in far.items() if n == k}
+        by = {r["id"]: r for r in levels[k].table.where(F.col("id").isin(list(set(at.values())))).collect()}
+        for t, node in at.items():
+            paths[t].append((node, by[node]["relation"]))
+            at[t] = by[node]["parent"]
+    discard(*written)
+    return {t: None if path is None else [(source, None), *path[::-1]] for t, path in paths.items()}
+
+
 def resolve_node(entities: DataFrame, wanted: str) -> DataFrame:
     """The one entity that a request means: by id, else path, else symbol name, else file name."""
     low = F.lower(F.lit(wanted))
