@@ -21,6 +21,7 @@ MAX_DEPTH, MAX_NODES, MAX_EDGES = 3, 100, 200
 MAX_PATH, MAX_VISITED, MAX_FRONTIER_EDGES = 15, 2000, 4000
 HUB_FLOOR, HUB_PERCENTILE = 50, 0.99
 #: Edges from which an end is kept out of shuffles by its key, and the most ends that can be: beyond it the edges rise.
+#: As many ids may be broadcast.
 HOT_EDGES, HOT_ENDS = 1000, 100_000
 #: Relations along which a change reaches the source, and those along which it reaches the target.
 TO_SOURCE, TO_TARGET = ("calls", "inherits", "imports"), ("decorates", "tested_by")
@@ -204,6 +205,11 @@ class Level:
 
     table: DataFrame
     ids: list[str] | None
+    size: int
+
+    def keys(self) -> DataFrame:
+        """Broadcast by number only: a table of ids is many times as large in memory as on disk."""
+        return self.table.select(F.col("id").alias("_n")).hint("broadcast" if self.size <= HOT_ENDS else "merge")
 
 
 def _arcs(edges: DataFrame) -> DataFrame:
@@ -219,11 +225,13 @@ def _hot_ends(edges: DataFrame) -> DataFrame:
 
 
 def _arcs_from(edges: DataFrame, level: Level, hot: DataFrame | None) -> DataFrame:
-    """The arcs at the nodes of a level: a filter if they are few, else a join by key, where hot ends
-    take no part in the shuffle."""
+    """The arcs at the nodes of a level: a filter if they are few, else a join by key; if it shuffles,
+    hot ends take no part in that."""
     if level.ids is not None:
         return _arcs(touching(edges, level.ids)).where(F.col("at").isin(level.ids))
-    arcs, ahead = _arcs(edges), level.table.select(F.col("id").alias("_n"))
+    arcs, ahead = _arcs(edges), level.keys()
+    if level.size <= HOT_ENDS:
+        return arcs.join(ahead, arcs["at"] == ahead["_n"], "left_semi")
     plain = arcs.join(F.broadcast(hot), arcs["at"] == hot["_hot"], "left_anti").join(ahead, F.col("at") == F.col("_n"), "left_semi")
     hot = hot.join(ahead, hot["_hot"] == ahead["_n"], "left_semi")
     return plain.unionByName(arcs.join(F.broadcast(hot), arcs["at"] == hot["_hot"], "left_semi"))
@@ -232,7 +240,7 @@ def _arcs_from(edges: DataFrame, level: Level, hot: DataFrame | None) -> DataFra
 def _without(nodes: DataFrame, level: Level) -> DataFrame:
     if level.ids is not None:
         return nodes.where(~F.col("id").isin(level.ids))
-    seen = level.table.select(F.col("id").alias("_n"))
+    seen = level.keys()
     return nodes.join(seen, nodes["id"] == seen["_n"], "left_anti")
 
 
@@ -247,9 +255,9 @@ def shortest_paths(
     """
     kept = edges.where(edge_filter(relations, tiers)).select("source", "relation", "target")
     start = edges.sparkSession.createDataFrame([(source, None, None)], "id string, parent string, relation string")
-    levels, far, hot, written = [Level(start, [source])], {source: 0} if source in targets else {}, None, []
+    levels, far, hot, written = [Level(start, [source], 1)], {source: 0} if source in targets else {}, None, []
     while len(levels) <= MAX_PATH and (wanted := [t for t in targets if t not in far]):
-        if levels[-1].ids is None and hot is None:
+        if levels[-1].size > HOT_ENDS and hot is None:
             hot = materialise(_hot_ends(kept), "hot")
             written.append(hot)
         first = F.min(F.struct("source", "relation", "target")).alias("e")
@@ -263,7 +271,7 @@ def shortest_paths(
         if not ids:
             break
         far |= dict.fromkeys((r["id"] for r in table.where(F.col("id").isin(wanted)).select("id").collect()), len(levels))
-        levels.append(Level(table, ids if len(ids) <= MAX_VISITED else None))
+        levels.append(Level(table, ids, len(ids)) if len(ids) <= MAX_VISITED else Level(table, None, table.count()))
     paths = {t: [] if t in far else None for t in targets}
     at = {}
     for k in range(max(far.values(), default=-1), 0, -1):

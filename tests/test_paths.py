@@ -101,6 +101,23 @@ def test_paths_by_hand(spark, monkeypatch):
     monkeypatch.setattr(graph, "HOT_EDGES", 4)
     assert graph._hot_ends(frame).count() > 0
     assert graph.shortest_paths(frame, "n0", targets) == want
+    monkeypatch.setattr(graph, "HOT_ENDS", 15)
+    made = []
+    level = graph.Level
+    monkeypatch.setattr(graph, "Level", lambda *a: made.append(level(*a)) or made[-1])
+    assert graph.shortest_paths(frame, "n0", targets) == want
+    assert graph._hot_ends(frame).count() > 0 and max(x.size for x in made) > 15
+
+
+def test_long_levels_are_not_broadcast(spark, monkeypatch):
+    """Whatever their size on disk is, which says little of ids that compress well."""
+    frame = spark.createDataFrame([("a", f"b{i}", "x", "EXTRACTED") for i in range(50)] + [("b7", "c", "x", "EXTRACTED")], EDGES)
+    monkeypatch.setattr(graph, "MAX_VISITED", 3)
+    monkeypatch.setattr(graph, "HOT_ENDS", 10)
+    plans, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    assert graph.shortest_paths(frame, "a", ["c"]) == {"c": [("a", None), ("b7", "x"), ("c", "x")]}
+    assert "SortMergeJoin" in plans[-1] and plans[-1].count("BroadcastHashJoin") <= 2  # hot ends, which are counted
 
 
 def test_no_path_over_the_most_steps(spark):
